@@ -26,6 +26,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -319,3 +320,13 @@ def remove(docs: DataFrame) -> DataFrame:
 
     kind = joined.schema["row"].dataType.simpleString()
     return map_arrow(joined, run, f"row {kind}, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+
+
+def whole_characters(data: Column) -> Column:
+    """The text of kept bytes, without the rests of characters that a cut fell into."""
+
+    @F.pandas_udf("string")
+    def run(values: pd.Series) -> pd.Series:
+        return values.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
+
+    return run(data)

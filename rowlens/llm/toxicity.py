@@ -28,7 +28,8 @@ WORD = re.compile(r"[^\W_]+")
 PREFIXES = (3, 4, 5, 6)
 #: Bounds of the fit: labelled documents of each class, sentences and characters of a document's longest part, features.
 SAMPLE_EACH, SAMPLE_CHARS, FEATURES = 8_000, 50_000, 8_192
-ITERATIONS, RATE, PENALTY = 500, 0.15, 2e-5
+#: Steps of the fit, their size, and the prior's weight, which counts for less the more documents there are.
+ITERATIONS, RATE, PRIOR = 500, 0.15, 0.3
 
 
 def word_features(word: str) -> list[str]:
@@ -161,7 +162,7 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH, chars: int
         # d(-log likelihood)/d quiet: 1 where clean, -(1 - p) / p where toxic
         slope = weight * np.where(toxic > 0, -np.exp(-quiet) / np.maximum(p, 1e-9), 1.0)
         ds = slope[doc_of] / (1 + np.exp(-z))
-        g = np.append(np.bincount(cols, ds[inner_of], len(names)) + PENALTY * theta, ds.sum() + (slope * bare).sum() / (1 + np.exp(-bias)))
+        g = np.append(np.bincount(cols, ds[inner_of], len(names)) + PRIOR / n * theta, ds.sum() + (slope * bare).sum() / (1 + np.exp(-bias)))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = RATE * (1 - step / (ITERATIONS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         theta, bias = theta - move[:-1], bias - move[-1]

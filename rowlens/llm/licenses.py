@@ -34,7 +34,7 @@ TEMPLATES = (
 #: Words in a gram: of templates of up to SHORT words, and of longer ones.
 SHORT, K_SHORT, K_LONG = 7, 2, 5
 #: Diagonals this near are one copy; the share of grams that must vote, and of the template's distinct words that the span must hold.
-NEAR, VOTES, VERIFIED = 4, 0.5, 0.75
+NEAR, VOTES, VERIFIED = 4, 0.4, 0.75
 
 
 def template_table(spark: SparkSession) -> DataFrame:

@@ -1,4 +1,3 @@
-import random
 import sys
 from pathlib import Path
 
@@ -6,17 +5,7 @@ import pytest
 
 sys.path.insert(0, str(Path(__file__).parent))
 
-CLASHING = "row string, id string, data string, w string, rid string, start string, score string, seeds string, hits string, found string, g string, n int"
-DOCS = f"doc_id long, text string, lang string, source string, n_chars long, {CLASHING}"
-
-
-def prose(seed, n):
-    r = random.Random(seed)
-    return " ".join("".join(r.choice("abcdefgh") for _ in range(r.randint(2, 7))) for _ in range(n))
-
-
-def document(i, text):
-    return (i, text, None, "s", None if text is None else len(text), "r", None, "d", "w", "5", "0", "x", "y", "z", "f", "g", 3)
+from samples import DOCS, document, prose  # noqa: E402
 
 
 @pytest.fixture(scope="session")

@@ -8,7 +8,7 @@ import brute
 import numpy as np
 import pyarrow as pa
 import pytest
-from conftest import CLASHING, prose
+from samples import CLASHING, prose
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F

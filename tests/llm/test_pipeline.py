@@ -3,7 +3,7 @@
 import brute
 import numpy as np
 import pytest
-from conftest import DOCS, document, prose
+from samples import DOCS, document, prose
 
 import corpus_pipeline
 from rowlens.llm import bpe, queries

@@ -1,8 +1,7 @@
 """Every query with SQL must give what DuckDB gives."""
 
 import pytest
-from conftest import DATA
-from oracle import rows
+from oracle import DATA, rows
 
 from rowlens import queries
 

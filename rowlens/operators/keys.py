@@ -36,9 +36,11 @@ def numbered(df: DataFrame, order: list[str]) -> DataFrame:
     """Adds ``position``, the row's place from 0 in the given order.
 
     Rows are sorted by range; each partition counts by itself and starts at the
-    sum of those before it. Only one number a partition meets the others.
+    sum of those before it. Only one row a partition meets the others. The sorted
+    rows are cached (spilling to disk): range bounds are sampled, so counting and
+    numbering must see the same partitions.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("p", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id())
+    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("p", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id()).persist()
     sizes = ranged.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first"))
     before = F.coalesce(F.sum("n").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.withColumn("before", before).drop("n")

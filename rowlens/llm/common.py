@@ -38,6 +38,11 @@ def drop_folder(spark: SparkSession, path: str) -> None:
     p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Delete all that this package has written to the shared folder, once no result is needed any more."""
+    drop_folder(spark, f"{shared_dir(spark)}/rowlens")
+
+
 class freed_shuffles:
     """Within this block, a finished write gives its shuffle files back at once."""
 

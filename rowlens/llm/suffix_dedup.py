@@ -10,8 +10,8 @@ hash says so. A phrase is the bytes of all its windows.
   All windows of a phrase that occurred before are repeats.
 * Of the first occurrences, a window whose trigger hash occurs once in the whole
   dictionary is unique. The stretches around the other triggers are dealt by
-  trigger hash, and each task builds the suffix array of its stretches, to the
-  depth of LENGTH bytes. Neighbours in it that agree so far are one string; in
+  trigger hash, and each task builds the suffix array of its distinct stretches,
+  to the depth of LENGTH bytes. Neighbours in it that agree so far are one string; in
   corpus order (doc_id, start) all but its first place are repeats.
 * A trigger hash with very many places is dealt over several groups; the strings
   that are first in their group meet once more by their hash.
@@ -232,23 +232,45 @@ def repeats(dealt: DataFrame) -> DataFrame:
 
     types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
 
-    def emit(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-        found = block(rows)
+    def emit(found: list[tuple]) -> Iterator[pa.RecordBatch]:
         for k in range(0, len(found), 20_000):
             yield pa.RecordBatch.from_arrays([pa.array(o, t) for o, t in zip(zip(*found[k : k + 20_000], strict=True), types, strict=True)], [c.split()[0] for c in FOUND_SCHEMA.split(", ")])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple] = []
+        held: list[tuple] = []  # distinct stretches, for the suffix array
         size = 0
+        key: tuple = ()
+        first: dict[bytes, tuple] = {}  # of one key: a stretch's first place
+        whole: list[tuple] = []  # equal stretches elsewhere: all their windows are repeats
+
+        def close() -> None:
+            nonlocal size
+            if len(first) > 1 or first and key[2]:  # a stretch that is alone under its trigger shares no window
+                held.extend((*key, *place, data) for data, place in first.items())
+                size += sum(map(len, first))
+            first.clear()
+
         for b in batches:
-            for row in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
-                if size >= BLOCK and row[:2] != held[-1][:2]:
-                    yield from emit(held)
-                    held, size = [], 0
-                held.append(row)
-                size += len(row[6])
+            for h, salt, salted, doc, rid, start, data in zip(*(b.column(i).to_pylist() for i in range(7)), strict=True):
+                if key[:2] != (h, salt):
+                    close()
+                    key = (h, salt, salted)
+                    if size >= BLOCK:
+                        yield from emit(block(held))
+                        held, size = [], 0
+                    if len(whole) >= 20_000:
+                        yield from emit(whole)
+                        whole = []
+                place = (doc, rid, start)
+                known = first.setdefault(data, place)
+                if place != known:
+                    least, later = min(place, known), max(place, known)
+                    first[data] = least
+                    whole.append((*later, len(data) - LENGTH + 1, None))
+        close()
         if held:
-            yield from emit(held)
+            yield from emit(block(held))
+        yield from emit(whole)
 
     return dealt.mapInArrow(run, FOUND_SCHEMA)
 

@@ -1,0 +1,3 @@
+"""Comparison of tables with PySpark."""
+
+__version__ = "0.1.0"

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import csv
 import os
 import tempfile
 from collections.abc import Callable
@@ -13,8 +14,10 @@ from pyspark.sql import types as T
 
 from .functions import casts, equality, text
 from .operators import diff, keys, match, normalize, profile, summary
-from .options import CompareOptions, NormalizeOptions
+from .options import CompareOptions, NormalizeOptions, ReadOptions
 from .plans.compare import compare_tables
+from .session import new_folder
+from .sources import encoding, files, xlsx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -515,53 +518,47 @@ def compare_tables_auto(spark, d):
 # ---- files --------------------------------------------------------------------------------------
 
 
-def _local_csv(spark, d, name: str, encoding: str) -> str:
-    """A small table as a CSV file on the driver, as a user would have one."""
-    folder = tempfile.mkdtemp(prefix="rowlens-")
-    path = os.path.join(folder, f"{name}.csv")
-    table(spark, d, name).toPandas().to_csv(path, index=False, encoding=encoding)
+def _csv(spark, d, name: str, charset: str = "UTF-8") -> str:
+    """A small table as CSV in the shared folder."""
+    path = new_folder(spark, name)
+    table(spark, d, name).coalesce(1).write.option("header", True).option("encoding", charset).csv(path)
     return path
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
 def csv_roundtrip(spark, d):
-    from .sources.files import read_csv
-
-    rows = read_csv(spark, _local_csv(spark, d, "nation", "utf-8")).collect()  # 25 rows; the file stays on the driver
-    return spark.createDataFrame(rows, "n_nationkey long, n_name string, n_regionkey long")
+    return files.read_csv(spark, _csv(spark, d, "nation"))
 
 
-@query("SELECT e.encoding, CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region, (VALUES ('utf-8'), ('utf-16'), ('utf-32')) e(encoding)")
+@query("SELECT e.encoding, CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region, (VALUES ('utf-8'), ('utf-16'), ('utf-32'), ('iso-8859-1')) e(encoding)")
 def csv_encodings(spark, d):
-    from .sources.files import read_csv
-
-    out = [(e, r.r_regionkey, r.r_name) for e in ("utf-8", "utf-16", "utf-32") for r in read_csv(spark, _local_csv(spark, d, "region", e)).collect()]
-    return spark.createDataFrame(out, "encoding string, r_regionkey long, r_name string")
+    read = lambda e: files.read_csv(spark, _csv(spark, d, "region", e.upper()), ReadOptions(encoding=e))
+    return reduce(DataFrame.unionAll, [read(e).select(F.lit(e).alias("encoding"), "r_regionkey", "r_name") for e in ("utf-8", "utf-16", "utf-32", "iso-8859-1")])
 
 
 @query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
 def xlsx_read(spark, d):
-    from .sources import xlsx
-
+    """A workbook that the driver writes and reads by itself."""
     t = table(spark, d, "nation")
-    path = os.path.join(tempfile.mkdtemp(prefix="rowlens-"), "nation.xlsx")
-    xlsx.write_xlsx(path, {"Sheet1": [t.columns, *[list(r) for r in t.collect()]]})
-    rows = [tuple(int(x) if isinstance(x, float) else x for x in r) for r in xlsx.rows(path)][1:]
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "nation.xlsx")
+        xlsx.write_xlsx(path, {"Sheet1": [t.columns, *[list(r) for r in t.collect()]]})  # 25 rows
+        rows = [tuple(int(x) if isinstance(x, float) else x for x in r) for r in xlsx.rows(path)][1:]
     return spark.createDataFrame(rows, "n_nationkey long, n_name string, n_regionkey long")
 
 
 @query("SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
 def convert_encoding(spark, d):
-    from .sources.encoding import convert_encoding as convert
-    from .sources.files import read_csv
-
-    rows = read_csv(spark, convert(_local_csv(spark, d, "region", "utf-16"), "utf-8")).collect()
+    """A file that the driver converts and reads by itself."""
+    with tempfile.TemporaryDirectory() as folder:
+        path = os.path.join(folder, "region.csv")
+        table(spark, d, "region").toPandas().to_csv(path, index=False, encoding="utf-16")  # 5 rows
+        with open(encoding.convert_encoding(path, "utf-8"), encoding="utf-8", newline="") as f:
+            rows = [(int(r["r_regionkey"]), r["r_name"]) for r in csv.DictReader(f)]
     return spark.createDataFrame(rows, "r_regionkey long, r_name string")
 
 
 @query("SELECT CAST(r_regionkey AS BIGINT) // 2 AS block, count(*) AS n FROM region GROUP BY 1")
 def read_chunks(spark, d):
-    from .sources.files import read_chunks as chunks
-
-    sizes = [(i, len(x)) for i, x in enumerate(chunks(spark, _local_csv(spark, d, "region", "utf-8"), 2))]
-    return spark.createDataFrame(sizes, "block long, n long")
+    blocks = files.chunks(files.read_csv(spark, _csv(spark, d, "region")), 2)
+    return spark.createDataFrame([(i, len(x)) for i, x in enumerate(blocks)], "block long, n long")

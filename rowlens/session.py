@@ -1,10 +1,11 @@
-"""Sessions, and the package's way to the executors."""
+"""The package's way to the executors, and the folder they share with the driver."""
 
 from __future__ import annotations
 
 import atexit
 import shutil
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -26,3 +27,22 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(root.parent))
     sc.addPyFile(str(target))
     _shipped.add(sc.applicationId)
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir``.
+
+    Only where the session names none (local tests) is one made and set.
+    """
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
+        found = "file://" + tempfile.mkdtemp(prefix="rowlens-")
+        spark.conf.set("spark.checkpoint.dir", found)
+    return found.rstrip("/")
+
+
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A name for a new folder in the shared one."""
+    return f"{shared_dir(spark)}/rowlens/{name}-{uuid.uuid4().hex}"

@@ -63,25 +63,23 @@ def _charset(path: str, encoding: str) -> tuple[str, str]:
 def read_csv(spark: SparkSession, path: str, options: ReadOptions | None = None) -> DataFrame:
     """A CSV file with a header. Missing-value tokens become null before types are inferred.
 
-    UTF-8 and ISO-8859-1 files are split; UTF-16 and UTF-32 are read whole, as
+    The encoding of a local file is detected; folders and remote paths are in
+    UTF-8 unless one is named. UTF-8 and ISO-8859-1 files are split; UTF-16 and UTF-32 are read whole, as
     splitting would cut their line ends.
     """
     o = options or ReadOptions()
-    charset = "UTF-8"
-    if _is_local(path):
-        if not os.path.exists(path):
-            raise FileMissing(f"no such file: {path}", path=path)
-        if os.path.isfile(path):
-            encoding = o.encoding or detect_encoding(path).encoding
-            names = header(path, encoding, o.delimiter)
-            if not names:
-                raise InvalidStructure(f"the file is empty: {path}", path=path)
-            twice = sorted({n for n in names if names.count(n) > 1})
-            if twice:
-                raise InvalidStructure(f"columns occur twice: {', '.join(twice)}", path=path, columns=twice)
-            path, charset = _charset(path, encoding)
-    elif o.encoding:
-        charset = SPARK_CHARSETS.get(codecs.lookup(o.encoding).name, o.encoding)
+    charset = SPARK_CHARSETS.get(codecs.lookup(o.encoding).name, o.encoding) if o.encoding else "UTF-8"
+    if _is_local(path) and not os.path.exists(path):
+        raise FileMissing(f"no such file: {path}", path=path)
+    if _is_local(path) and os.path.isfile(path):
+        encoding = o.encoding or detect_encoding(path).encoding
+        names = header(path, encoding, o.delimiter)
+        if not names:
+            raise InvalidStructure(f"the file is empty: {path}", path=path)
+        twice = sorted({n for n in names if names.count(n) > 1})
+        if twice:
+            raise InvalidStructure(f"columns occur twice: {', '.join(twice)}", path=path, columns=twice)
+        path, charset = _charset(path, encoding)
     reader = spark.read.option("header", True).option("sep", o.delimiter).option("encoding", charset).option("escape", '"')
     if charset.startswith(("UTF-16", "UTF-32")):
         reader = reader.option("multiLine", True)
@@ -136,13 +134,17 @@ def parse_file(spark: SparkSession, path: str, options: ReadOptions | None = Non
     return ParsedData(df, sheet, counts[0], len(df.columns), dict(df.dtypes), dict(zip(df.columns, counts[1:], strict=True)))
 
 
-def read_chunks(spark: SparkSession, path: str, chunk_size: int = 10_000, options: ReadOptions | None = None) -> Iterator[pd.DataFrame]:
-    """The rows in blocks of ``chunk_size``, one partition after the other; the driver holds one block."""
-    o = options or ReadOptions(chunk_size=chunk_size)
-    df = read_file(spark, path, o)
+def chunks(df: DataFrame, size: int) -> Iterator[pd.DataFrame]:
+    """The rows in blocks of ``size``, one partition after the other; the driver holds one block and one partition."""
     rows = df.toLocalIterator(prefetchPartitions=True)
-    while block := list(itertools.islice(rows, o.chunk_size)):
+    while block := list(itertools.islice(rows, size)):
         yield pd.DataFrame.from_records(block, columns=df.columns)
 
 
+def read_chunks(spark: SparkSession, path: str, chunk_size: int = 10_000, options: ReadOptions | None = None) -> Iterator[pd.DataFrame]:
+    """The rows of a file in blocks; the size in ``options`` goes before ``chunk_size``."""
+    o = options or ReadOptions(chunk_size=chunk_size)
+    return chunks(read_file(spark, path, o), o.chunk_size)
+
+
 sheet_names = xlsx.sheet_names

@@ -26,9 +26,9 @@ def by_type_and_field(differences: DataFrame) -> DataFrame:
 
 def rate(differences: DataFrame, t1: DataFrame) -> DataFrame:
     """total_rows of table 1, total_differences (cells) and difference_rate in percent (0 without rows)."""
-    rows = t1.agg(F.count(F.lit(1)).alias("total_rows"))
-    cells = differences.agg(F.count(F.lit(1)).alias("total_differences"))
-    out = rows.crossJoin(cells)  # one row each
+    rows = t1.agg(F.count(F.lit(1)).alias("total_rows"), F.lit(0).cast("long").alias("total_differences"))
+    cells = differences.agg(F.lit(0).cast("long").alias("total_rows"), F.count(F.lit(1)).alias("total_differences"))
+    out = rows.unionAll(cells).agg(F.sum("total_rows").alias("total_rows"), F.sum("total_differences").alias("total_differences"))
     return out.withColumn("difference_rate", F.when(F.col("total_rows") > 0, F.col("total_differences") / F.col("total_rows") * 100).otherwise(F.lit(0.0)))
 
 

@@ -40,7 +40,7 @@ def word_features(word: str) -> list[str]:
 class Model(dict):
     """Weights of features, and of words as they are asked for; ``bias`` is a sentence's."""
 
-    MOST = 300_000
+    MOST = 200_000
 
     def __init__(self, weights: dict[str, float], bias: float):
         super().__init__()
@@ -102,18 +102,17 @@ def select_features(bags: DataFrame, most: int = FEATURES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
-        totals = [0, 0]
         for b in batches:
             for toxic, sentences in zip(b.column("toxic").to_pylist(), b.column("sentences").to_pylist(), strict=True):
                 counts[toxic == 1].update({f for w in {w for s in sentences for w in s} for f in word_features(w)})
-                totals[toxic == 1] += 1
         names = sorted(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(["", *names]), pa.array([totals[0], *(counts[0][f] for f in names)], pa.int64()), pa.array([totals[1], *(counts[1][f] for f in names)], pa.int64())], ["f", "n0", "n1"])
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in counts)], ["f", "n0", "n1"])
 
     sums = bags.mapInArrow(run, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    totals = sums.filter("f = ''").selectExpr("n0 + 0D AS t0", "n1 + 0D AS t1")
-    scored = sums.filter("f <> '' AND n0 + n1 >= 4").join(F.broadcast(totals))  # one row
-    p1, p0, p = "n1 / greatest(t1, 1D)", "n0 / greatest(t0, 1D)", "(n0 + n1) / greatest(t0 + t1, 1D)"
+    totals = bags.agg(F.count_if(F.col("toxic") != 1), F.count_if(F.col("toxic") == 1)).first()
+    t0, t1 = (float(max(1, n)) for n in totals)
+    scored = sums.filter("n0 + n1 >= 4")
+    p1, p0, p = f"n1 / {t1}D", f"n0 / {t0}D", f"(n0 + n1) / {t0 + t1}D"
     part = lambda n, a: f"CASE WHEN {n} > 0 THEN {n} * ln({a} / ({p})) ELSE 0D END"
     return scored.withColumn("g", F.expr(f"{part('n1', p1)} + {part('n0', p0)}")).orderBy(F.desc("g"), "f").limit(most).select("f")
 

@@ -43,8 +43,7 @@ def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str)
     """
     ship(spark)
     out = suffix_dedup.remove(docs)
-    text = F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.col("kept_text"))
-    out = out.withColumn("kept_text", suffix_dedup.whole_characters(F.col("kept"))).withColumn("new_text", text)
+    out = out.withColumn("new_text", F.when(F.col("n_removed") == 0, F.col("row.text")).otherwise(F.col("kept_text")))
     own = {"text": F.col("new_text"), "n_chars": F.when(F.col("n_removed") == 0, F.col("row.n_chars")).otherwise(F.char_length("new_text").cast("long"))}
     return out.select(*[own[c].alias(c) if c in own else F.col("row")[c].alias(c) for c in docs.columns])
 

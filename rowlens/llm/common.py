@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -94,10 +95,20 @@ def pieces(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordB
         yield batch.slice(at)
 
 
+def give_back() -> None:
+    """Return free memory to the system: workers live on between stages, and executors share one limit with them."""
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def map_arrow(df: DataFrame, f: Callable[[pa.RecordBatch], pa.RecordBatch], schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
                 yield f(b)
+        give_back()
 
     return df.mapInArrow(run, schema)

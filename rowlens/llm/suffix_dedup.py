@@ -26,13 +26,12 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_folder, map_arrow, utf8, written
+from .common import drop_folder, give_back, map_arrow, utf8, written
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
@@ -185,6 +184,7 @@ def stretches(rows: DataFrame) -> DataFrame:
         for b in it:
             for k in range(0, b.num_rows, 500):
                 yield run(b.slice(k, 500))
+        give_back()
 
     return rows.mapInArrow(batches, STRETCH_SCHEMA)
 
@@ -271,6 +271,7 @@ def repeats(dealt: DataFrame) -> DataFrame:
         if held:
             yield from emit(block(held))
         yield from emit(whole)
+        give_back()
 
     return dealt.mapInArrow(run, FOUND_SCHEMA)
 
@@ -310,7 +311,10 @@ def repeated_starts(rows: DataFrame) -> DataFrame:
 
 
 def remove(docs: DataFrame) -> DataFrame:
-    """row (all columns of the document), id, n_bytes, n_removed, n_spans, kept_sha256 and kept (bytes) of every row.
+    """row (all columns of the document), id, n_bytes, n_removed, n_spans, kept_sha256, kept and kept_text of every row.
+
+    ``kept`` are the remaining bytes; ``kept_text`` is what they spell without the
+    rests of characters that a cut fell into, and null where nothing was removed.
 
     A null text is empty; texts under LENGTH bytes lose nothing. Rows that share a
     doc_id are taken in the order of a hash of their texts, and equal rows are one
@@ -327,7 +331,7 @@ def remove(docs: DataFrame) -> DataFrame:
         for x, runs in zip(b.column("data"), b.column("runs").to_pylist(), strict=True):
             data = x.as_py()
             if not runs:
-                out.append((len(data), 0, 0, hashlib.sha256(data).hexdigest(), data))
+                out.append((len(data), 0, 0, hashlib.sha256(data).hexdigest(), data, None))
                 continue
             edge = np.zeros(len(data) + 1, np.int32)
             s, n = (np.array([r[k] for r in runs]) for k in ("start", "n"))
@@ -335,20 +339,11 @@ def remove(docs: DataFrame) -> DataFrame:
             np.add.at(edge, s + n + LENGTH - 1, -1)
             gone = np.cumsum(edge[:-1]) > 0
             kept = np.frombuffer(data, np.uint8)[~gone].tobytes()
-            out.append((len(data), int(gone.sum()), int((np.diff(gone.view(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept))
+            out.append((len(data), int(gone.sum()), int((np.diff(gone.view(np.int8), prepend=0) == 1).sum()), hashlib.sha256(kept).hexdigest(), kept, kept.decode("utf-8", "ignore")))
         columns = list(zip(*out, strict=True))
-        names, types = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
+        names, types = ["n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "kept_text"], (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary(), pa.string())
         return pa.RecordBatch.from_arrays([b.column("row"), b.column("id"), *(pa.array(c, t) for c, t in zip(columns, types, strict=True))], ["row", "id", *names])
 
     kind = joined.schema["row"].dataType.simpleString()
-    return map_arrow(joined, run, f"row {kind}, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary")
-
-
-def whole_characters(data: Column) -> Column:
-    """The text of kept bytes, without the rests of characters that a cut fell into."""
-
-    @F.pandas_udf("string")
-    def run(values: pd.Series) -> pd.Series:
-        return values.map(lambda x: None if x is None else bytes(x).decode("utf-8", "ignore"))
+    return map_arrow(joined, run, f"row {kind}, id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary, kept_text string")
 
-    return run(data)

@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import text_or_empty
+from .common import give_back, text_or_empty
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
@@ -29,6 +29,8 @@ PREFIXES = (3, 4, 5, 6)
 #: Bounds of the fit: labelled documents of each class, sentences and characters of a document's longest part, features.
 SAMPLE_EACH, SAMPLE_CHARS, FEATURES = 8_000, 50_000, 8_192
 #: Steps of the fit, their size, and the prior's weight, which counts for less the more documents there are.
+#: Features that a task counts before it passes the counts on.
+COUNTED = 100_000
 ITERATIONS, RATE, PRIOR = 500, 0.15, 0.3
 
 
@@ -90,9 +92,10 @@ def instances(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH, chars
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(text_or_empty(), 1, chars).alias("text")).join(ids, "doc_id").select("text", "toxic")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
             bags = [[sorted(set(WORD.findall(s))) for s in SENTENCE.findall(t.lower())] for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(bags, pa.list_(pa.list_(pa.string())))], ["toxic", "sentences"])
+        give_back()
 
     return rows.mapInArrow(run, "toxic int, sentences array<array<string>>")
 
@@ -102,11 +105,21 @@ def select_features(bags: DataFrame, most: int = FEATURES) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: tuple[Counter, Counter] = (Counter(), Counter())
-        for b in batches:
+
+        def partial() -> pa.RecordBatch:
+            names = sorted(counts[0].keys() | counts[1].keys())
+            out = pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in counts)], ["f", "n0", "n1"])
+            for c in counts:
+                c.clear()
+            return out
+
+        for b in (b.slice(k, 200) for b in batches for k in range(0, b.num_rows, 200)):
             for toxic, sentences in zip(b.column("toxic").to_pylist(), b.column("sentences").to_pylist(), strict=True):
                 counts[toxic == 1].update({f for w in {w for s in sentences for w in s} for f in word_features(w)})
-        names = sorted(counts[0].keys() | counts[1].keys())
-        yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), *(pa.array([c[f] for f in names], pa.int64()) for c in counts)], ["f", "n0", "n1"])
+                if len(counts[0]) + len(counts[1]) >= COUNTED:
+                    yield partial()
+        yield partial()
+        give_back()
 
     sums = bags.mapInArrow(run, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
     totals = bags.agg(F.count_if(F.col("toxic") != 1), F.count_if(F.col("toxic") == 1)).first()
@@ -131,13 +144,14 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH, chars: int
     index = {f: i for i, f in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (b.slice(k, 200) for b in batches for k in range(0, b.num_rows, 200)):
             out = []
             for sentences in b.column("sentences").to_pylist():
                 rows = [sorted(i for w in s for f in word_features(w) if (i := index.get(f)) is not None) for s in sentences if s]
                 out.append(([r for r in rows if r], sum(not r for r in rows)))
             bare = pa.array([n for _, n in out], pa.int32())
             yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([r for r, _ in out], pa.list_(pa.list_(pa.int32()))), bare], ["toxic", "rows", "bare"])
+        give_back()
 
     sample = bags.mapInArrow(run, "toxic int, rows array<array<int>>, bare int").toArrow()  # 2 * each rows at most
     toxic = (sample.column("toxic").to_numpy() == 1).astype(float)
@@ -173,7 +187,9 @@ def scorer(model: Model):
 
     @F.pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("n_offending", T.LongType())]))
     def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([model.score(t or "") for t in texts], columns=["score", "n_offending"])
+        out = pd.DataFrame([model.score(t or "") for t in texts], columns=["score", "n_offending"])
+        give_back()
+        return out
 
     return run
 

@@ -11,9 +11,10 @@ Classes of equal sets come first; from then on only distinct sets are handled.
 Bands of ROWS coordinates give buckets. In a bucket every member is checked
 against the smallest one on full sets, which joins nearly all that belong
 together; a bucket whose members are still in several components is then dealt
-into blocks whose sketches are compared block by block, and what is estimated
-near is checked on full sets too. No bucket is cut off and no pair of members
-is written out unless its sketches agree.
+into blocks whose sketches are compared block by block. Members that agree with
+one of another component meet there once more with their full sets, and are
+checked until no two that agree are in different components. No bucket is cut
+off, and pairs of members are compared inside a task, never written out.
 """
 
 from __future__ import annotations
@@ -23,10 +24,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_arrow, utf8, written
+from .common import give_back, map_arrow, utf8, written
 from .components import components
 
 SHINGLE = 5
@@ -38,6 +39,8 @@ BANDS = T // ROWS
 LEAST_EQUAL = 74
 #: Rows of a block of sketches; members checked against one copy of a set.
 BLOCK, STAR = 1024, 256
+#: Bytes of the full sets in a block.
+BLOCK_BYTES = 8 << 20
 
 _U = np.uint64
 SKETCH_SCHEMA = "doc_id long, n_shingles long, set_hash binary, bands array<long>, sketch binary"
@@ -58,7 +61,7 @@ _PLACES = _U(64 - (T.bit_length() - 1))
 
 class _WordHashes(dict):
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) >= 200_000:
             self.clear()
         v = self[word] = xxhash.xxh3_64_intdigest(word)
         return v
@@ -136,7 +139,7 @@ def sketches(docs: DataFrame) -> DataFrame:
 def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets reach the similarity.
 
-    Texts are dealt by (b, salt), so that a set with very many partners is copied
+    Texts are dealt by (b, salt) (and joined by a shuffle at every size), so that a set with very many partners is copied
     to one group for every STAR of them instead of meeting them all in one task.
     An id with several texts is near another if one of its texts is.
     """
@@ -145,7 +148,7 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
     counts = written(counts, "partners")
     members = pairs.join(counts, "b").select("b", F.pmod(F.xxhash64("a"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"), F.col("a").alias("doc_id"))
     hubs = counts.select("b", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"), F.lit(0).alias("member"), F.col("b").alias("doc_id"))
-    rows = members.unionAll(hubs).join(texts, "doc_id").select("b", "salt", "member", F.col("doc_id").alias("a"), "data")
+    rows = members.unionAll(hubs).join(texts.hint("merge"), "doc_id").select("b", "salt", "member", F.col("doc_id").alias("a"), "data")
     dealt = rows.repartition("b", "salt").sortWithinPartitions("b", "salt", "member")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -164,51 +167,121 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
             if found:
                 a, b = zip(*sorted(found), strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+        _words.clear()
+        give_back()
 
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def near_by_sketch(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """Pairs (a, b) from the same bucket but different components whose sketches agree enough.
+def in_blocks(rows: DataFrame, members: Column, columns: list[str]) -> DataFrame:
+    """Rows (key, node, ...) dealt so that each two of a bucket meet: once for each pair of its blocks.
 
-    ``rows``: key, members, node, label, n_shingles, sketch. A bucket of more than
-    BLOCK rows is dealt into blocks, and each pair of blocks is one group.
+    Adds i and j, the pair of blocks, and own, the row's block.
     """
-    blocks = F.ceil(F.col("members") / BLOCK).cast("int")
+    blocks = F.greatest(F.lit(1), F.ceil(members / BLOCK).cast("int"))
     rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
-    dealt = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "label", F.col("n_shingles").alias("n"), "sketch").repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
+    dealt = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", *columns)
+    return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "node")
 
-    def compare(held: list[tuple], i: int, j: int) -> list[tuple[int, int]]:
-        own, node, label, n, bits = zip(*held, strict=True)
-        own, node, label, n = (np.array(x) for x in (own, node, label, n))
+
+def by_group(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, list[tuple]]]:
+    """((key, i, j), rows) of neighbouring rows from ``in_blocks``; the rows hold ``columns``."""
+    at, held = None, []
+    for batch in batches:
+        names = ["key", "i", "j", *columns]
+        for key, i, j, *rest in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            if at != (key, i, j):
+                if held:
+                    yield at, held
+                at, held = (key, i, j), []
+            held.append(rest)
+    if held:
+        yield at, held
+    give_back()
+
+
+def partners(x: int, i: int, j: int, own, label, n, bits, percent: int) -> np.ndarray:
+    """Which rows of a group may be near row ``x``, lie in the other block and in another component."""
+    rest = np.flatnonzero((own == i + j - own[x]) & (label != label[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
+    return rest[(bits[rest] == bits[x]).sum(1) >= LEAST_EQUAL] if len(rest) else rest
+
+
+def suspects(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """key and node of those in a bucket whose sketch agrees enough with one of another component.
+
+    ``rows``: key, members, node, label, n_shingles, sketch.
+    """
+    dealt = in_blocks(rows, F.col("members"), ["label", F.col("n_shingles").alias("n"), "sketch"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for (key, i, j), held in by_group(batches, ["own", "node", "label", "n", "sketch"]):
+            if len(held) < 2:
+                continue
+            own, node, label, n, bits = zip(*held, strict=True)
+            own, label, n = (np.array(x) for x in (own, label, n))
+            bits = np.frombuffer(b"".join(bits), np.uint16).reshape(len(held), T)
+            found = [node[x] for x in range(len(held)) if len(partners(x, i, j, own, label, n, bits, percent))]
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([key] * len(found), pa.int64()), pa.array(found, pa.int64())], ["key", "node"])
+
+    return dealt.mapInArrow(run, "key long, node long").distinct()
+
+
+def full_sets(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node and its full set (sorted 64-bit hashes) for the ids in ``nodes``."""
+    texts = docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long").alias("node"), utf8().alias("data")).join(nodes.hint("merge"), "node", "left_semi")
+
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([b.column("node"), pa.array([shingles(x.as_py()).tobytes() for x in b.column("data")], pa.binary())], ["node", "set"])
+
+    return map_arrow(texts, run, "node long, set binary")
+
+
+def links_in_blocks(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) that join the components of a bucket's members as far as full sets allow.
+
+    ``rows``: key, weight (bytes of the bucket's sets), members, node, label,
+    sketch, set. Within a group every two members of different components whose
+    sketches agree are checked on their sets, until they are joined; so no more
+    links than members leave a group, and a link is lost only to the sketches.
+    """
+    dealt = in_blocks(rows, F.greatest(F.col("members"), F.col("weight") * BLOCK / BLOCK_BYTES), ["label", "sketch", "set"])
+
+    def check(held: list[tuple], i: int, j: int) -> list[tuple[int, int]]:
+        own, node, label, bits, sets = zip(*held, strict=True)
+        own, label = np.array(own), np.array(label)
         bits = np.frombuffer(b"".join(bits), np.uint16).reshape(len(held), T)
-        left = np.flatnonzero(own == i)
+        sets = [np.frombuffer(x, np.uint64) for x in sets]
+        n = np.array([len(x) for x in sets])
+        _, flat = np.unique(np.concatenate(sets), return_inverse=True)
+        ends = np.cumsum(n)
+        mine = [flat[e - k : e] for e, k in zip(ends, n, strict=True)]
+        mark = np.zeros(int(flat.max(initial=0)) + 1, bool)
         out = []
-        for x in left:
-            rest = np.flatnonzero((own == j) & (label != label[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])) & ((node > node[x]) | (i != j)))
-            if len(rest):
-                near = rest[(bits[rest] == bits[x]).sum(1) >= LEAST_EQUAL]
-                out += [(max(node[x], node[y]), min(node[x], node[y])) for y in near]
+        for x in range(len(held)):
+            near = partners(x, i, j, own, label, n, bits, percent)
+            if i == j:
+                near = near[near > x]
+            elif own[x] != i:
+                continue
+            mark[mine[x]] = True
+            for y in near:
+                if label[x] != label[y]:
+                    both = int(mark[mine[y]].sum())
+                    if 100 * both >= percent * (n[x] + n[y] - both):
+                        out.append((max(node[x], node[y]), min(node[x], node[y])))
+                        label[label == label[y]] = label[x]
+            mark[mine[x]] = False
         return out
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at, held = None, []
-
-        def done() -> Iterator[pa.RecordBatch]:
-            pairs = sorted(set(compare(held, at[1], at[2]))) if len(held) > 1 else []
+        for (_, i, j), held in by_group(batches, ["own", "node", "label", "sketch", "set"]):
+            pairs = sorted(set(check(held, i, j))) if len(held) > 1 else []
             if pairs:
                 a, b = zip(*pairs, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-        for batch in batches:
-            for key, i, j, *rest in zip(*(batch.column(c).to_pylist() for c in ("key", "i", "j", "own", "node", "label", "n", "sketch")), strict=True):
-                if at != (key, i, j):
-                    yield from done()
-                    at, held = (key, i, j), []
-                held.append(rest)
-        yield from done()
-
-    return dealt.mapInArrow(run, "a long, b long").distinct()
+    return dealt.mapInArrow(run, "a long, b long")
 
 
 def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -225,16 +298,23 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     hubs = written(members.groupBy("key").agg(F.min("node").alias("hub"), F.count(F.lit(1)).alias("members")).filter("members > 1"), "buckets")
     buckets = written(members.join(hubs, "key"), "members")
     tried = written(buckets.filter("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct(), "pairs")
-    links = written(verified(tried, docs, percent), "links")
+    several = rows.filter("set_hash IS NOT NULL").withColumn("h", F.xxhash64("set_hash")).groupBy("doc_id").agg(F.min("h").alias("lo"), F.max("h").alias("hi")).filter("lo < hi").select("doc_id")
+    same_id = rows.join(several, "doc_id", "left_semi").join(classes.select("set_hash", "node"), "set_hash").select(F.col("doc_id").alias("a"), F.col("node").alias("b")).filter("a <> b")
+    links = written(verified(tried, docs, percent).unionAll(same_id), "links")
     labels = components(links)
 
     known = buckets.join(labels, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     open_keys = written(known.groupBy("key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"), F.count(F.lit(1)).alias("members")).filter("lo < hi").select("key", "members"), "open")
-    rest = known.join(open_keys, "key").join(classes.select("node", "n_shingles", "sketch").dropDuplicates(["node"]), "node")
-    more = written(near_by_sketch(rest, percent).join(tried, ["a", "b"], "left_anti"), "pairs")
-    links = links.unionAll(written(verified(more, docs, percent), "links"))
-
+    sketched = classes.select("node", "n_shingles", "sketch").dropDuplicates(["node"])
+    left = known.join(open_keys, "key").join(sketched, "node")
+    found = written(suspects(left, percent), "suspects")
+    sets = written(full_sets(found.select("node").distinct(), docs), "sets")
+    slim = written(found.join(known, ["key", "node"]).join(sketched, "node"), "suspects")
+    weights = slim.groupBy("key").agg((8 * F.sum("n_shingles")).alias("weight"), F.count(F.lit(1)).alias("members"))
+    left = slim.join(weights, "key").join(sets, "node")  # the sets last: they are dealt once
+    links = links.unionAll(written(links_in_blocks(left, percent), "links"))
     labels = components(links)
+
     named = classes.join(labels, "node", "left").select("set_hash", F.coalesce("label", "node").alias("component_id"))
     out = rows.select("doc_id", "n_shingles", "set_hash").join(named, "set_hash", "left")
     out = out.withColumn("component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", "doc_id")))

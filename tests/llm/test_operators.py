@@ -183,7 +183,7 @@ def test_near_groups(odd_texts, odd_docs):
 
 def test_near_groups_that_need_several_rounds(spark, monkeypatch):
     """Near copies of one text, of which few are near its smallest."""
-    monkeypatch.setattr(near_dedup, "FIRST_PARTNERS", 1)
+    monkeypatch.setattr(near_dedup, "BLOCK", 8)
     texts = []
     for i in range(40):
         w = prose(1, 200).split()
@@ -227,13 +227,12 @@ def test_blocks_of_a_large_bucket(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK", 8)
     rows = []
     for i in range(60):
-        s = near_dedup.sketch(np.arange(100, dtype=np.uint64) + np.uint64(1000 * (i % 30)))
-        rows.append((1, 60, i, i, 100, bytearray(s.astype(np.uint16).tobytes())))
-    df = spark.createDataFrame(rows, "key long, members long, node long, label long, n_shingles long, sketch binary")
-    assert sorted((r.a, r.b, r.more) for r in near_dedup.near_by_sketch(df, 1).collect()) == [(i + 30, i, False) for i in range(30)]
-    alike = df.withColumn("sketch", F.lit(rows[0][-1]))
-    few, all_ = (near_dedup.near_by_sketch(alike, n).collect() for n in (1, 100))
-    assert all(r.more for r in few) and len(few) < len(all_) == 60 * 59 // 2 and not any(r.more for r in all_)
+        s = np.arange(100, dtype=np.uint64) + np.uint64(1000 * (i % 30))
+        bits = near_dedup.sketch(s).astype(np.uint16).tobytes()
+        rows.append((1, 60, 48_000, i, i, 100, bytearray(bits), bytearray(s.tobytes())))
+    df = spark.createDataFrame([*rows, (1, 60, 48_000, 99, 99, 100, bytearray(bytes(2 * near_dedup.T)), bytearray(np.arange(100, dtype=np.uint64).tobytes()))], "key long, members long, weight long, node long, label long, n_shingles long, sketch binary, set binary")
+    assert sorted(r.node for r in near_dedup.suspects(df).collect()) == list(range(60))
+    assert sorted((r.a, r.b) for r in near_dedup.links_in_blocks(df).collect()) == [(i + 30, i) for i in range(30)]
 
 
 # ---- decontamination, licenses ----

@@ -1,9 +1,9 @@
 """Byte-level BPE encoding and decoding with a hierarchical-bitmap rank queue.
 
 Each pre-token is a linked list of tokens. A pair that some token of the
-vocabulary spells out waits in the bucket of that token's rank; three levels of
-64-bit words tell which buckets are filled, so that finding the first set bit in
-three words gives the lowest rank. Buckets hand out their leftmost position
+vocabulary spells out waits in the bucket of that token's rank; two levels of
+256-bit words tell which buckets are filled, so that finding the first set bit in
+two words gives the lowest rank. Buckets hand out their leftmost position
 first. An entry whose pair has changed meanwhile is stale and skipped. The time
 is O(n log n) in the length of a pre-token, whatever it holds.
 """
@@ -22,11 +22,15 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import give_back, text_or_empty
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string"
 #: Encoded pre-tokens that a worker remembers at most, and the longest of them in characters.
-CACHE_ENTRIES, CACHE_LENGTH = 700_000, 48
+CACHE_ENTRIES, CACHE_LENGTH = 300_000, 48
+
+
+def packed(ids: list[int]) -> bytes:
+    return b"".join([i.to_bytes(4, "little") for i in ids]) if len(ids) < 12 else np.array(ids, "<u4").tobytes()
 
 
 class Encoder:
@@ -37,86 +41,88 @@ class Encoder:
         self.spelled = {i: b for b, i in ranks.items()}
         self.split = regex.compile(pattern).findall
         self.cache: dict[str, bytes] = {}
-        # (left id << 32 | right id) -> rank of the token that the two spell
-        self.pairs = {x << 32 | y: rank for token, rank in ranks.items() for k in range(1, len(token)) if (x := ranks.get(token[:k])) is not None and (y := ranks.get(token[k:])) is not None}
-        size = max(ranks.values()) + 1
-        self.low = [0] * (size + 63 >> 6)
-        self.mid = [0] * (len(self.low) + 63 >> 6)
-        self.top = 0
-        self.buckets: list[list[int] | None] = [None] * size
+        self.ranks = ranks
+        # rights[left id][right id]: rank of the token that the two spell
+        none: dict[int, int] = {}
+        self.rights = [none] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            for k in range(1, len(token)):
+                x, y = ranks.get(token[:k]), ranks.get(token[k:])
+                if x is not None and y is not None:
+                    if self.rights[x] is none:
+                        self.rights[x] = {}
+                    self.rights[x][y] = rank
+        self.low = [0] * (len(self.rights) + 255 >> 8)
+        self.bits = [1 << i for i in range(max(256, len(self.low)))]
+        self.buckets: list[list[int] | None] = [None] * len(self.rights)
 
     def merge(self, data: bytes) -> list[int]:
         """Token ids of one pre-token."""
-        byte_ids, pairs = self.byte_ids, self.pairs
-        ids = [byte_ids[b] for b in data]
+        whole = self.ranks.get(data)
+        if whole is not None:
+            return [whole]
+        rights, low, buckets, bits, top = self.rights, self.low, self.buckets, self.bits, 0
+        ids = [*map(self.byte_ids.__getitem__, data)]
         n = len(ids)
-        if n < 2:
-            return ids
-        low, mid, buckets, top = self.low, self.mid, self.buckets, 0
-        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        wanted = [-1] * n  # rank of the pair that starts at a position; others in buckets are stale
-        get = pairs.get
+        after, before = [*range(1, n + 1)], [*range(-1, n - 1)]
+        wanted: list[int | None] = [None] * n  # rank of the pair that starts at a place; other entries in buckets are stale
         for at in range(n - 1):
-            rank = get(ids[at] << 32 | ids[at + 1])
+            wanted[at] = rank = rights[ids[at]].get(ids[at + 1])
             if rank is not None:
-                wanted[at] = rank
                 bucket = buckets[rank]
                 if bucket is None:
                     buckets[rank] = [at]
-                    w = rank >> 6
-                    low[w] |= 1 << (rank & 63)
-                    mid[w >> 6] |= 1 << (w & 63)
-                    top |= 1 << (w >> 6)
+                    w = rank >> 8
+                    low[w] |= bits[rank & 255]
+                    top |= bits[w]
                 else:
-                    bucket.append(at)  # rising positions are a heap
+                    bucket.append(at)  # rising places are a heap
         while top:
-            h = (top & -top).bit_length() - 1
-            m = mid[h]
-            w = h << 6 | (m & -m).bit_length() - 1
+            w = (top & -top).bit_length() - 1
             x = low[w]
-            bit = x & -x
-            rank = w << 6 | bit.bit_length() - 1
+            x &= -x
+            rank = w << 8 | x.bit_length() - 1
             bucket = buckets[rank]
-            at = heappop(bucket)
-            if not bucket:
+            if len(bucket) > 1:
+                at = heappop(bucket)
+            else:
+                at = bucket[0]
                 buckets[rank] = None
-                low[w] = x = x ^ bit
-                if not x:
-                    mid[h] = m = m ^ (1 << (w & 63))
-                    if not m:
-                        top ^= 1 << h
+                low[w] ^= x
+                if not low[w]:
+                    top ^= bits[w]
             if wanted[at] != rank:
                 continue
             gone = after[at]
             ids[at] = rank
-            nxt = after[gone]
-            after[at] = nxt
-            wanted[gone] = -1
+            after[at] = nxt = after[gone]
+            wanted[gone] = None
             left = before[at]
-            changed = []
             if nxt < n:
                 before[nxt] = at
-                new = get(rank << 32 | ids[nxt])
-                wanted[at] = -1 if new is None else new
+                wanted[at] = new = rights[rank].get(ids[nxt])
                 if new is not None:
-                    changed.append((new, at))
+                    bucket = buckets[new]
+                    if bucket is None:
+                        buckets[new] = [at]
+                        w = new >> 8
+                        low[w] |= bits[new & 255]
+                        top |= bits[w]
+                    else:
+                        heappush(bucket, at)
             else:
-                wanted[at] = -1
+                wanted[at] = None
             if left >= 0:
-                new = get(ids[left] << 32 | rank)
-                wanted[left] = -1 if new is None else new
+                wanted[left] = new = rights[ids[left]].get(rank)
                 if new is not None:
-                    changed.append((new, left))
-            for new, place in changed:
-                bucket = buckets[new]
-                if bucket is None:
-                    buckets[new] = [place]
-                    w = new >> 6
-                    low[w] |= 1 << (new & 63)
-                    mid[w >> 6] |= 1 << (w & 63)
-                    top |= 1 << (w >> 6)
-                else:
-                    heappush(bucket, place)
+                    bucket = buckets[new]
+                    if bucket is None:
+                        buckets[new] = [left]
+                        w = new >> 8
+                        low[w] |= bits[new & 255]
+                        top |= bits[w]
+                    else:
+                        heappush(bucket, left)
         out, at = [], 0
         while at < n:
             out.append(ids[at])
@@ -129,7 +135,7 @@ class Encoder:
         for piece in self.split(text):
             ids = cache.get(piece)
             if ids is None:
-                ids = np.array(self.merge(piece.encode()), "<u4").tobytes()
+                ids = packed(self.merge(piece.encode()))
                 if len(piece) <= CACHE_LENGTH:
                     if len(cache) >= CACHE_ENTRIES:
                         cache.clear()
@@ -200,5 +206,7 @@ def round_trip(docs: DataFrame, path: str | None = None, pattern: str | None = N
                 rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(own.decode(ids)).hexdigest()))
             n, coded, decoded = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(coded), pa.array(decoded)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        own.cache.clear()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).mapInArrow(run, SCHEMA)

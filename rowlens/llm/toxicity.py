@@ -21,13 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import give_back, text_or_empty
+from .common import give_back, pieces, text_or_empty, written
 
 SENTENCE = re.compile(r"[^.!?\n]+")
 WORD = re.compile(r"[^\W_]+")
 PREFIXES = (3, 4, 5, 6)
-#: Bounds of the fit: labelled documents of each class, sentences and characters of a document's longest part, features.
-SAMPLE_EACH, SAMPLE_CHARS, FEATURES = 8_000, 50_000, 8_192
+#: Bounds of the fit: labelled documents of each class, features.
+SAMPLE_EACH, FEATURES = 8_000, 8_192
+#: Bytes of text whose sentences leave a task together; features of sentences that a step of the fit takes at once.
+PIECE_BYTES, HELD = 1 << 20, 1 << 18
 #: Steps of the fit, their size, and the prior's weight, which counts for less the more documents there are.
 #: Features that a task counts before it passes the counts on.
 COUNTED = 100_000
@@ -86,21 +88,20 @@ def training_ids(labels: DataFrame, each: int = SAMPLE_EACH) -> DataFrame:
     return parts[0].unionAll(parts[1])
 
 
-def instances(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH, chars: int = SAMPLE_CHARS) -> DataFrame:
-    """toxic and the sentences (arrays of distinct words) of the training documents."""
+def training_texts(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> DataFrame:
+    """toxic and the whole text of the training documents."""
     ids = F.broadcast(training_ids(labels, each))  # at most 2 * each rows of two numbers
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.substring(text_or_empty(), 1, chars).alias("text")).join(ids, "doc_id").select("text", "toxic")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(ids, "doc_id").select("text", "toxic")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (b.slice(k, 500) for b in batches for k in range(0, b.num_rows, 500)):
-            bags = [[sorted(set(WORD.findall(s))) for s in SENTENCE.findall(t.lower())] for t in b.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array(bags, pa.list_(pa.list_(pa.string())))], ["toxic", "sentences"])
-        give_back()
 
-    return rows.mapInArrow(run, "toxic int, sentences array<array<string>>")
+def instances(text: str) -> Iterator[set[str]]:
+    """The distinct words of each sentence that has some."""
+    for m in SENTENCE.finditer(text.lower()):
+        if words := set(WORD.findall(m[0])):
+            yield words
 
 
-def select_features(bags: DataFrame, most: int = FEATURES) -> DataFrame:
+def select_features(texts: DataFrame, most: int = FEATURES) -> DataFrame:
     """The ``most`` features whose document counts tell the classes apart best (signed root of the log-likelihood ratio)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -113,16 +114,17 @@ def select_features(bags: DataFrame, most: int = FEATURES) -> DataFrame:
                 c.clear()
             return out
 
-        for b in (b.slice(k, 200) for b in batches for k in range(0, b.num_rows, 200)):
-            for toxic, sentences in zip(b.column("toxic").to_pylist(), b.column("sentences").to_pylist(), strict=True):
-                counts[toxic == 1].update({f for w in {w for s in sentences for w in s} for f in word_features(w)})
+        for b in batches:
+            for toxic, text in zip(b.column("toxic"), b.column("text"), strict=True):
+                words = set().union(*instances(text.as_py()))
+                counts[toxic.as_py() == 1].update({f for w in words for f in word_features(w)})
                 if len(counts[0]) + len(counts[1]) >= COUNTED:
                     yield partial()
         yield partial()
         give_back()
 
-    sums = bags.mapInArrow(run, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
-    totals = bags.agg(F.count_if(F.col("toxic") != 1), F.count_if(F.col("toxic") == 1)).first()
+    sums = texts.mapInArrow(run, "f string, n0 long, n1 long").groupBy("f").agg(F.sum("n0").alias("n0"), F.sum("n1").alias("n1"))
+    totals = texts.agg(F.count_if(F.col("toxic") != 1), F.count_if(F.col("toxic") == 1)).first()
     t0, t1 = (float(max(1, n)) for n in totals)
     scored = sums.filter("n0 + n1 >= 4")
     p1, p0, p = f"n1 / {t1}D", f"n0 / {t0}D", f"(n0 + n1) / {t0 + t1}D"
@@ -130,58 +132,94 @@ def select_features(bags: DataFrame, most: int = FEATURES) -> DataFrame:
     return scored.withColumn("g", F.expr(f"{part('n1', p1)} + {part('n0', p0)}")).orderBy(F.desc("g"), "f").limit(most).select("f")
 
 
-def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH, chars: int = SAMPLE_CHARS, most: int = FEATURES) -> Model:
-    """A model from the labels outside the held-out fifth.
+def bags(texts: DataFrame, names: list[str]) -> DataFrame:
+    """toxic and the sentences of each text as indices into ``names``.
 
-    The fit takes at most ``2 * each`` labelled documents, of each the first
-    ``chars`` characters; scoring takes whole texts. Without labels of both
-    classes every text scores 0.
+    Equal sentences of a text are one of ``rows``, which stands ``times`` times;
+    ``bare`` counts the sentences with none of the features.
     """
-    from .common import written
-
-    bags = written(instances(docs, labels, each, chars), "toxicity")
-    names = sorted(r.f for r in select_features(bags, most).collect())
     index = {f: i for i, f in enumerate(names)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (b.slice(k, 200) for b in batches for k in range(0, b.num_rows, 200)):
-            out = []
-            for sentences in b.column("sentences").to_pylist():
-                rows = [sorted(i for w in s for f in word_features(w) if (i := index.get(f)) is not None) for s in sentences if s]
-                out.append(([r for r in rows if r], sum(not r for r in rows)))
-            bare = pa.array([n for _, n in out], pa.int32())
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), pa.array([r for r, _ in out], pa.list_(pa.list_(pa.int32()))), bare], ["toxic", "rows", "bare"])
+        known: dict[str, list[int]] = {}
+
+        def found(word: str) -> list[int]:
+            if (v := known.get(word)) is None:
+                if len(known) >= COUNTED:
+                    known.clear()
+                v = known[word] = [i for f in word_features(word) if (i := index.get(f)) is not None]
+            return v
+
+        for b in (x for whole in batches for x in pieces(whole, "text", PIECE_BYTES)):
+            rows, times, bare = [], [], []
+            for text in b.column("text"):
+                n = Counter(tuple(sorted(i for w in words for i in found(w))) for words in instances(text.as_py()))
+                bare.append(n.pop((), 0))
+                order = sorted(n)
+                rows.append(pa.array(order, pa.list_(pa.int32())))
+                times.append([n[r] for r in order])
+            ends = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
+            rows = pa.ListArray.from_arrays(ends, pa.concat_arrays(rows))
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), rows, pa.array(times, pa.list_(pa.int32())), pa.array(bare, pa.int64())], ["toxic", "rows", "times", "bare"])
         give_back()
 
-    sample = bags.mapInArrow(run, "toxic int, rows array<array<int>>, bare int").toArrow()  # 2 * each rows at most
+    return texts.mapInArrow(run, "toxic int, rows array<array<int>>, times array<int>, bare long")
+
+
+def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH, most: int = FEATURES) -> Model:
+    """A model from the labels outside the held-out fifth.
+
+    The fit takes the whole texts of at most ``2 * each`` labelled documents.
+    Without labels of both classes every text scores 0.
+    """
+    texts = written(training_texts(docs, labels, each), "toxicity")
+    names = sorted(r.f for r in select_features(texts, most).collect())
+    sample = bags(texts, names).toArrow()  # 2 * each rows at most
     toxic = (sample.column("toxic").to_numpy() == 1).astype(float)
     if not len(names) or toxic.min(initial=1) == toxic.max(initial=0):
         return Model({}, -40.0)
     order = sample.combine_chunks()
-    rows = order.column("rows").combine_chunks() if order.num_rows else None
-    doc_ends = rows.offsets.to_numpy()
-    inner = rows.values
-    ends, cols = inner.offsets.to_numpy(), inner.values.to_numpy()
-    doc_of = np.repeat(np.arange(len(toxic)), np.diff(doc_ends))
-    inner_of = np.repeat(np.arange(len(ends) - 1), np.diff(ends))
+    del sample
+    rows = order.column("rows").combine_chunks()
+    inner = rows.flatten()
+    # the buffers of a slice begin elsewhere, so all are taken from what flatten() gives
+    ends, cols = np.cumsum(np.append(0, pa.compute.list_value_length(inner).to_numpy())), inner.flatten().to_numpy()
+    per_doc = pa.compute.list_value_length(rows).to_numpy()
+    doc_of = np.repeat(np.arange(len(toxic), dtype=np.int32), per_doc)
+    times = order.column("times").combine_chunks().flatten().to_numpy().astype(float)
+    blocks = _blocks(ends)
     bare, n = order.column("bare").to_numpy().astype(float), len(toxic)
     weight = np.where(toxic > 0, 0.5 / toxic.sum(), 0.5 / (n - toxic.sum()))
     theta, bias = np.zeros(len(names)), -3.0
     m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
+    z = np.zeros(len(ends) - 1)
     for step in range(1, ITERATIONS + 1):
-        z = bias + np.bincount(inner_of, theta[cols], len(ends) - 1)
-        quiet = np.bincount(doc_of, np.logaddexp(0, z), n) + bare * np.logaddexp(0, bias)  # -log P(not toxic)
+        for lo, hi in blocks:
+            z[lo:hi] = bias + np.add.reduceat(theta[cols[ends[lo] : ends[hi]]], ends[lo:hi] - ends[lo])
+        quiet = np.bincount(doc_of, times * np.logaddexp(0, z), n) + bare * np.logaddexp(0, bias)  # -log P(not toxic)
         p = -np.expm1(-quiet)
         # d(-log likelihood)/d quiet: 1 where clean, -(1 - p) / p where toxic
         slope = weight * np.where(toxic > 0, -np.exp(-quiet) / np.maximum(p, 1e-9), 1.0)
-        ds = slope[doc_of] / (1 + np.exp(-z))
-        g = np.append(np.bincount(cols, ds[inner_of], len(names)) + PRIOR / n * theta, ds.sum() + (slope * bare).sum() / (1 + np.exp(-bias)))
+        ds = slope[doc_of] * times / (1 + np.exp(-z))
+        g = np.append(PRIOR / n * theta, ds.sum() + (slope * bare).sum() / (1 + np.exp(-bias)))
+        for lo, hi in blocks:
+            g[:-1] += np.bincount(cols[ends[lo] : ends[hi]], np.repeat(ds[lo:hi], np.diff(ends[lo : hi + 1])), len(names))
         m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
         move = RATE * (1 - step / (ITERATIONS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
         theta, bias = theta - move[:-1], bias - move[-1]
     return Model({f: float(w) for f, w in zip(names, theta, strict=True) if abs(w) > 1e-3}, float(bias))
 
 
+def _blocks(ends: np.ndarray) -> list[tuple[int, int]]:
+    """[lo, hi) of neighbouring sentences with about HELD features together, one sentence at least."""
+    out, lo = [], 0
+    while lo < len(ends) - 1:
+        hi = max(lo + 1, int(np.searchsorted(ends, ends[lo] + HELD, "right")) - 1)
+        out.append((lo, hi))
+        lo = hi
+    return out
+
+
 def scorer(model: Model):
     """A column function: text -> struct of score and n_offending; a null text scores as an empty one."""
 

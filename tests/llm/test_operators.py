@@ -370,6 +370,25 @@ def test_toxicity(labelled, odd_docs, no_docs):
     assert again.weights == model.weights
 
 
+def test_toxicity_of_long_documents(spark):
+    rows, labels = [], []
+    for i in range(80):
+        sentences = [prose(i * 10 + k, 8) for k in range(20)] * 60
+        rows.append((i, ". ".join([*sentences, prose(i, 6) + " foulword" if i % 2 else prose(i, 7)])))
+        labels.append((i, 1, i % 2))
+    assert all(len(t) > 50_000 and t.find("foulword", 0, 50_000) < 0 for _, t in rows)
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = toxicity.fit(docs, labels)
+    assert all(r.predicted == r.doc_id % 2 for r in toxicity.score(docs, model).collect())
+    assert [(r.doc_id, "foulword" in rows[1][1][r.start : r.end]) for r in toxicity.offending(docs.filter("doc_id = 1"), model).collect()] == [(1, True)]
+
+
+def test_toxicity_bags_merge_equal_sentences(spark):
+    texts = spark.createDataFrame([("Bad day. good day! Bad day? Nothing\n", 1), ("", 0), ("... bad", 0)], "text string, toxic int").coalesce(1)
+    out = toxicity.bags(texts, ["bad", "day", "good"]).collect()
+    assert [(r.toxic, r.rows, r.times, r.bare) for r in out] == [(1, [[0, 1], [1, 2]], [2, 1], 1), (0, [], [], 0), (0, [[0]], [1], 0)]
+
+
 def test_toxicity_without_labels(labelled):
     docs, labels = labelled
     for own in (labels.limit(0), labels.filter("toxic = 0")):

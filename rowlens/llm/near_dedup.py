@@ -19,6 +19,8 @@ off, and pairs of members are compared inside a task, never written out.
 
 from __future__ import annotations
 
+import functools
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -33,15 +35,38 @@ from .components import components
 SHINGLE = 5
 #: Link where 100 * intersection >= PERCENT * union.
 PERCENT = 75
+#: Coordinates of a sketch, and of a band at most.
 T, ROWS = 128, 4
-BANDS = T // ROWS
-#: Sketches that agree in fewer coordinates are not compared further: at similarity 0.75 that has a chance below 1e-5.
-LEAST_EQUAL = 74
+#: The chance that a pair on the threshold shares no band, and that its sketches agree in too few coordinates, stays below this.
+MISSED = 1e-5
 #: Rows of a block of sketches; members checked against one copy of a set.
 BLOCK, STAR = 1024, 256
 #: Bytes of the full sets in a block.
 BLOCK_BYTES = 8 << 20
 
+
+@functools.cache
+def band_rows(percent: int) -> int:
+    """Coordinates of a band, so that a pair at ``percent`` similarity shares one of the bands."""
+    rows = ROWS
+    while rows and (1 - (percent / 100) ** rows) ** (T // rows) >= MISSED:
+        rows //= 2
+    if not rows or percent > 100:
+        raise ValueError(f"{percent} percent: {T} coordinates find pairs from 9 to 100 percent")
+    return rows
+
+
+@functools.cache
+def least_equal(percent: int) -> int:
+    """Sketches that agree in fewer coordinates than this are not compared further."""
+    p, below = percent / 100, 0.0
+    for k in range(T + 1):
+        below += math.comb(T, k) * p**k * (1 - p) ** (T - k)
+        if below >= MISSED:
+            return k
+    return T
+
+
 _U = np.uint64
 SKETCH_SCHEMA = "doc_id long, n_shingles long, set_hash binary, bands array<long>, sketch binary"
 
@@ -55,7 +80,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _FACTORS = mix(np.arange(1, SHINGLE + 1, dtype=np.uint64)) | _U(1)
 _ROUNDS = mix(np.arange(2 * T, dtype=np.uint64) + _U(0x1234567))
-_BAND = mix(np.arange(BANDS, dtype=np.uint64) + _U(77))
+_BAND = mix(np.arange(T, dtype=np.uint64) + _U(77))
 _PLACES = _U(64 - (T.bit_length() - 1))
 
 
@@ -112,8 +137,9 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * both >= percent * (len(a) + len(b) - both)
 
 
-def sketches(docs: DataFrame) -> DataFrame:
+def sketches(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """A row of SKETCH_SCHEMA for every document; an empty set has no bands."""
+    rows = band_rows(percent)
 
     def run(b: pa.RecordBatch) -> pa.RecordBatch:
         n, key, bands, coordinates = [], [], [], []
@@ -123,9 +149,9 @@ def sketches(docs: DataFrame) -> DataFrame:
             key.append(xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None)
             if len(s):
                 c = sketch(s)
-                own = _BAND.copy()
-                for k in range(ROWS):
-                    own = mix(own * _U(31) + c[k::ROWS])
+                own = _BAND[: T // rows].copy()
+                for k in range(rows):
+                    own = mix(own * _U(31) + c[k::rows])
                 bands.append(own.astype(np.int64))
                 coordinates.append(c.astype(np.uint16).tobytes())
             else:
@@ -203,7 +229,7 @@ def by_group(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[
 def partners(x: int, i: int, j: int, own, label, n, bits, percent: int) -> np.ndarray:
     """Which rows of a group may be near row ``x``, lie in the other block and in another component."""
     rest = np.flatnonzero((own == i + j - own[x]) & (label != label[x]) & (100 * np.minimum(n, n[x]) >= percent * np.maximum(n, n[x])))
-    return rest[(bits[rest] == bits[x]).sum(1) >= LEAST_EQUAL] if len(rest) else rest
+    return rest[(bits[rest] == bits[x]).sum(1) >= least_equal(percent)] if len(rest) else rest
 
 
 def suspects(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -291,7 +317,7 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     without words, has an empty set and is linked with nothing; so is a row
     without a doc_id, whose component is null and which is kept.
     """
-    rows = written(sketches(docs), "sketches")
+    rows = written(sketches(docs, percent), "sketches")
     classes = rows.filter("set_hash IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_hash").agg(F.min_by(F.struct("n_shingles", "bands", "sketch"), "doc_id").alias("x"), F.min("doc_id").alias("node"))
     classes = written(classes.select("set_hash", "node", "x.*"), "classes")
     members = classes.select("node", F.explode("bands").alias("key")).distinct()

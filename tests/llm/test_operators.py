@@ -212,6 +212,19 @@ def test_chains_are_followed(spark):
     assert {i: r.component_id for i, r in by_id(near_dedup.groups(docs)).items()} == {i: c for i, (_, c) in brute.near(texts).items()}
 
 
+def test_near_dedup_at_a_lower_threshold(spark):
+    assert (near_dedup.band_rows(75), near_dedup.least_equal(75)) == (4, 74)
+    rows = []
+    for i in range(150):  # 60 shingles each, 40 of them shared: similarity 40 / 80
+        words = [f"w{i}x{k}" for k in range(64)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join([*words[:44], *(f"v{i}x{k}" for k in range(20))]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert {r.doc_id: r.component_id for r in near_dedup.groups(docs, 50).collect()} == {i: i // 2 * 2 for i in range(300)}
+    assert {r.doc_id: r.component_id for r in near_dedup.groups(docs, 51).collect()} == {i: i for i in range(300)}
+    with pytest.raises(ValueError, match="percent"):
+        near_dedup.groups(docs, 5)
+
+
 def test_sketch_estimates_and_fills():
     r = np.random.default_rng(1)
     x = np.unique(r.integers(0, 2**63, 4000, dtype=np.uint64))

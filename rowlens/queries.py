@@ -7,6 +7,7 @@ import os
 import tempfile
 from collections.abc import Callable
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ from .sources import encoding, files, xlsx
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "embeddings", "pages", "benchmark", "labels", "conversations")
+
 #: Keys are known to be unique in these tables: no look for duplicates before each query.
 PLAIN = CompareOptions(unique_keys="off")
 
@@ -497,9 +500,10 @@ def match_fields_view(spark, d):
 
 @query()
 def field_similarity_pairs(spark, d):
-    """Scores of all column names of orders against those of customer."""
-    a, b = (table(spark, d, t).columns for t in ("orders", "customer"))
-    return spark.createDataFrame([(x, y, round(match.similarity(x, y), 4)) for x in a for y in b], "field1 string, field2 string, score double")
+    """Scores of all column names of each table against those of each other."""
+    columns = {t: table(spark, d, t).columns for t in TABLES}  # metadata only
+    rows = [(t, x, u, y, round(match.similarity(x, y), 4)) for t, u in combinations(TABLES, 2) for x in columns[t] for y in columns[u]]
+    return spark.createDataFrame(rows, "table1 string, field1 string, table2 string, field2 string, score double")
 
 
 CAMEL = "SELECT c_custkey AS custKey, c_name AS Name, c_nationkey AS nationKey, CASE WHEN c_custkey % 6 = 0 THEN c_acctbal + 10 ELSE c_acctbal END AS acctBal, CASE WHEN c_custkey % 4 = 0 THEN 'none' ELSE '  ' || lower(c_mktsegment) || '!' END AS mktSegment FROM customer WHERE c_custkey % 37 <> 0"

@@ -4,8 +4,9 @@ A payload is kept as a WAV file of unsigned 8-bit samples in a binary column.
 Features come from the stored bytes: a polyphase filter brings the samples to
 the target rate, overlapped windows give log-mel frames, and two thresholds on
 the frame energy (enter above the high one, leave below the low one) give
-segments. Frames are cut into overlapping patches of one fixed shape with their
-time spans, which ``patch_table`` hands out as fixed-shape Arrow tensors.
+segments. Frames are cut into patches of one fixed shape, which are stored with
+their time spans as a fixed-shape Arrow tensor column: one Arrow stream for each
+document, in a binary column. ``patch_table`` reads such streams.
 """
 
 from __future__ import annotations
@@ -20,18 +21,27 @@ from math import gcd
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-PAD, BLOCK = 255, 576
+from .common import pieces, utf8
+
+PAD, BLOCK, TAIL = 255, 576, 32
 RATE, TARGET = 16_000, 8_000
 WINDOW, HOP, FFT, MELS = 200, 80, 256, 40
-PATCH, PATCH_HOP = 32, 16
+PATCH, PATCH_HOP = 32, 32
+#: Log-mel values are kept in steps of 1/STEPS.
+STEPS = 16
 ENTER_DB, LEAVE_DB = 0.5, -0.5
 #: Frames computed at once, however long the media is.
 FRAMES_AT_ONCE = 4096
+#: Bytes of media whose features leave a task together.
+PIECE_BYTES = 4 << 20
 
 MEDIA_SCHEMA = "doc_id long, n_bytes long, media binary"
-FEATURE_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_frames long, n_segments long"
-PATCH_SCHEMA = "doc_id long, patch int, start_s double, end_s double, mel array<float>"
+FEATURE_SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, n_frames long, segments array<struct<start_s:double,end_s:double>>, patches binary"
+#: Patches [PATCH, MELS] of half-precision values with their time spans.
+TENSOR = pa.fixed_shape_tensor(pa.float16(), [PATCH, MELS], dim_names=["frame", "mel"])
+PATCHES = pa.schema([("patch", pa.int32()), ("start_s", pa.float64()), ("end_s", pa.float64()), ("mel", TENSOR)])
 
 
 def wav(payload: bytes, rate: int = RATE) -> bytes:
@@ -58,17 +68,18 @@ def samples(media: bytes) -> tuple[int, bytes]:
 
 
 def store(docs: DataFrame) -> DataFrame:
-    """doc_id, n_bytes and media of every text (null: empty), padded to whole blocks."""
-    from .common import utf8
+    """doc_id, n_bytes and media of every text, padded to whole blocks.
+
+    A null text is an empty one, which gives one block of padding. Row by row:
+    repeated rows, and rows without a doc_id, are each stored.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (x for whole in batches for x in pieces(whole, "data", PIECE_BYTES)):
             data = b.column("data").to_pylist()
             media = [wav(x + bytes([PAD]) * (max(1, -(-len(x) // BLOCK)) * BLOCK - len(x))) for x in data]
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array([len(x) for x in data], pa.int64()), pa.array(media, pa.binary())], ["doc_id", "n_bytes", "media"])
 
-    from pyspark.sql import functions as F
-
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), utf8().alias("data")).mapInArrow(run, MEDIA_SCHEMA)
 
 
@@ -155,60 +166,73 @@ def analyse(media: bytes) -> tuple[bytes, np.ndarray, np.ndarray]:
     return data, mel, segments(energy)
 
 
-def patches(mel: np.ndarray) -> Iterator[tuple[int, float, float, np.ndarray]]:
-    """Patches [PATCH, MELS] with their time spans; the last is padded with its lowest value."""
-    for k, at in enumerate(range(0, max(1, len(mel) - PATCH + PATCH_HOP), PATCH_HOP)):
-        own = mel[at : at + PATCH]
-        end = ((at + len(own) - 1) * HOP + WINDOW) / TARGET
-        if len(own) < PATCH:
-            own = np.pad(own, ((0, PATCH - len(own)), (0, 0)), constant_values=own.min())
-        yield k, at * HOP / TARGET, end, own
+def patches(mel: np.ndarray) -> pa.RecordBatch:
+    """Rows of PATCHES that hold all frames; the last patch is padded with its lowest value."""
+    starts = np.arange(0, max(1, len(mel) - PATCH + PATCH_HOP), PATCH_HOP)
+    ends = np.minimum(starts + PATCH, len(mel))
+    own = np.full((starts[-1] + PATCH, MELS), mel[starts[-1] :].min(), np.float32)
+    own[: len(mel)] = mel
+    own = (np.rint(own * STEPS) / STEPS).astype(np.float16)
+    cut = own.reshape(-1, PATCH, MELS) if PATCH_HOP == PATCH else own[starts[:, None] + np.arange(PATCH)]
+    flat = pa.FixedSizeListArray.from_arrays(pa.array(cut.ravel()), PATCH * MELS)
+    spans = pa.array(starts * HOP / TARGET), pa.array(((ends - 1) * HOP + WINDOW) / TARGET)
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(len(starts), dtype=np.int32)), *spans, pa.ExtensionArray.from_storage(TENSOR, flat)], schema=PATCHES)
 
 
 def features(media: DataFrame) -> DataFrame:
     """A row of FEATURE_SCHEMA for each stored file, from its bytes alone.
 
-    ``feature`` gives frames, patches and segments, the mean log-mel level, the
-    seconds inside segments and a checksum of the frames at 1/16 resolution.
+    ``patches`` is an Arrow stream of PATCHES, ``segments`` are the spans in
+    which the energy stays up.
     """
 
     def one(doc_id, n_bytes, m: bytes) -> tuple:
         data, mel, seg = analyse(m)
-        n_patches = len(range(0, max(1, len(mel) - PATCH + PATCH_HOP), PATCH_HOP))
-        inside = int((seg[:, 1] - seg[:, 0]).sum()) * HOP / TARGET
-        check = zlib.crc32(np.rint(mel * 16).astype(np.int16).tobytes())
-        feature = f"frames={len(mel)};patches={n_patches};segments={len(seg)};inside_s={inside:.2f};mel={mel.mean(dtype=np.float64):.3f};crc={check:08x}"
-        return doc_id, n_bytes, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-BLOCK:]), len(m), hashlib.sha256(m).hexdigest(), feature, len(mel), len(seg)
-
+        sink = pa.BufferOutputStream()
+        with pa.ipc.new_stream(sink, PATCHES) as out:
+            out.write_batch(patches(mel))
+        spans = [{"start_s": a * HOP / TARGET, "end_s": ((b - 1) * HOP + WINDOW) / TARGET} for a, b in seg.tolist()]
+        return doc_id, n_bytes, len(data), hashlib.sha256(data).hexdigest(), zlib.crc32(data[-TAIL:]), len(m), hashlib.sha256(m).hexdigest(), len(mel), spans, sink.getvalue().to_pybytes()
+
+    span = pa.list_(pa.struct([("start_s", pa.float64()), ("end_s", pa.float64())]))
+    kinds = {"segments": span, "patches": pa.binary(), "payload_sha256": pa.string(), "media_sha256": pa.string()}
     names = [x.split()[0] for x in FEATURE_SCHEMA.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for part in (b.slice(i, 2000) for i in range(0, b.num_rows, 2000)):
-                rows = [one(*r) for r in zip(*(part.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True)]
-                types = [pa.string() if " string" in x else pa.int64() for x in FEATURE_SCHEMA.split(", ")]
-                yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows, strict=True), types, strict=True)], names)
+        for b in (x for whole in batches for x in pieces(whole, "media", PIECE_BYTES)):
+            rows = [one(*r) for r in zip(*(b.column(c).to_pylist() for c in ("doc_id", "n_bytes", "media")), strict=True)]
+            yield pa.RecordBatch.from_arrays([pa.array(x, kinds.get(c, pa.int64())) for x, c in zip(zip(*rows, strict=True), names, strict=True)], names)
 
     return media.select("doc_id", "n_bytes", "media").mapInArrow(run, FEATURE_SCHEMA)
 
 
-def mel_patches(media: DataFrame) -> DataFrame:
-    """A row of PATCH_SCHEMA for each patch of each stored file."""
+def patch_table(stored: bytes) -> pa.Table:
+    """The patches of one document, from the stream that ``features`` stores."""
+    return pa.ipc.open_stream(stored).read_all()
+
+
+def digests(stored: DataFrame) -> DataFrame:
+    """Rows of ``features`` with ``feature`` in place of the tensors it is derived from.
+
+    It gives the numbers of frames, patches and segments, the seconds inside
+    segments, the mean log-mel level of the patches, and a checksum of their values.
+    """
+    rest = [x for x in FEATURE_SCHEMA.split(", ") if x.split()[0] not in ("patches", "segments", "n_frames")]
+    schema = ", ".join([*rest, "feature string", "n_frames long", "n_segments long"])
+
+    def one(n_frames: int, spans: list[dict], blob: bytes) -> str:
+        table = patch_table(blob)
+        mel = table.column("mel").combine_chunks().to_numpy_ndarray()
+        inside = sum(x["end_s"] - x["start_s"] for x in spans)
+        check = zlib.crc32(np.rint(mel.astype(np.float32) * STEPS).astype("<i2").tobytes())
+        return f"frames={n_frames};patches={table.num_rows};segments={len(spans)};inside_s={inside:.2f};mel={mel.mean(dtype=np.float64):.3f};crc={check:08x}"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            for doc_id, m in zip(b.column("doc_id").to_pylist(), b.column("media").to_pylist(), strict=True):
-                own = list(patches(analyse(m)[1]))
-                flat = pa.array(np.concatenate([x[3].ravel() for x in own]), pa.float32())
-                mel = pa.ListArray.from_arrays(pa.array(np.arange(len(own) + 1) * PATCH * MELS, pa.int32()), flat)
-                yield pa.RecordBatch.from_arrays([pa.array([doc_id] * len(own), pa.int64()), pa.array([x[0] for x in own], pa.int32()), pa.array([x[1] for x in own]), pa.array([x[2] for x in own]), mel], ["doc_id", "patch", "start_s", "end_s", "mel"])
-
-    return media.select("doc_id", "media").mapInArrow(run, PATCH_SCHEMA)
-
-
-def patch_table(batch: pa.Table) -> pa.Table:
-    """Rows of ``mel_patches`` with ``mel`` as a fixed-shape tensor column [PATCH, MELS]."""
-    at = batch.schema.get_field_index("mel")
-    flat = pa.concat_arrays([c.flatten() for c in batch.column(at).chunks] or [pa.array([], pa.float32())]).cast(pa.float32())
-    kind = pa.fixed_shape_tensor(pa.float32(), [PATCH, MELS], dim_names=["frame", "mel"])
-    return batch.set_column(at, pa.field("mel", kind), pa.ExtensionArray.from_storage(kind, pa.FixedSizeListArray.from_arrays(flat, PATCH * MELS)))
+        for b in (x for whole in batches for x in pieces(whole, "patches", PIECE_BYTES)):
+            spans = b.column("segments").to_pylist()
+            text = [one(n, s, x.as_py()) for n, s, x in zip(b.column("n_frames").to_pylist(), spans, b.column("patches"), strict=True)]
+            keep = [x.split()[0] for x in rest]
+            columns = [*(b.column(c) for c in keep), pa.array(text, pa.string()), b.column("n_frames"), pa.array([len(s) for s in spans], pa.int64())]
+            yield pa.RecordBatch.from_arrays(columns, [*keep, "feature", "n_frames", "n_segments"])
+
+    return stored.mapInArrow(run, schema)

@@ -19,7 +19,8 @@ def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_audio(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audio.features(common.written(audio.store(table(spark, sf_dir, "documents")), "media"))
+    media = common.written(audio.store(table(spark, sf_dir, "documents")), "media")
+    return audio.digests(common.written(audio.features(media), "features"))
 
 
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -64,19 +64,49 @@ def test_warc_dictionary_is_embedded_and_frames_stand_alone():
 # ---- audio ----
 
 
-def test_audio_payloads(spark, odd_texts, odd_docs, no_docs):
-    out = by_id(audio.features(audio.store(odd_docs)))
+def stored_features(docs):
+    return common.written(audio.features(audio.store(docs)), "test-features")
+
+
+def test_audio_payloads(odd_texts, odd_docs, no_docs):
+    out = by_id(audio.digests(stored_features(odd_docs)))
     for i, t in odd_texts:
         data = brute.utf8(t)
         data += b"\xff" * (max(1, -(-len(data) // 576)) * 576 - len(data))
         r = out[i]
-        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(brute.utf8(t)), len(data), brute.sha(data), zlib.crc32(data[-576:]))
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(brute.utf8(t)), len(data), brute.sha(data), zlib.crc32(data[len(data) - 32 :]))
         assert r.media_bytes == len(data) + 44
     assert out[10].feature == out[11].feature and out[14].feature == out[15].feature
-    assert audio.features(audio.store(no_docs)).count() == 0
+    assert audio.digests(stored_features(no_docs)).count() == 0
 
 
-def test_resampling_keeps_a_tone_and_patches_are_tensors(spark, odd_docs):
+def test_audio_of_repeated_rows(repeated_docs):
+    out = audio.digests(stored_features(repeated_docs)).collect()
+    assert len(out) == repeated_docs.count()
+    assert sum(r.doc_id is None for r in out) == 2
+    by_payload = {}
+    for r in out:
+        assert by_payload.setdefault(r.payload_sha256, r.feature) == r.feature
+
+
+def test_audio_features_by_plain_formulas(odd_texts, odd_docs):
+    """Frames, patches and segments of stored tensors against a direct computation in double precision."""
+    for r in stored_features(odd_docs).collect():
+        data = brute.utf8(dict(odd_texts)[r.doc_id])
+        data += b"\xff" * (max(1, -(-len(data) // 576)) * 576 - len(data))
+        mel, spans = brute.audio(data)
+        table = audio.patch_table(bytes(r.patches))
+        assert table.schema.field("mel").type == pa.fixed_shape_tensor(pa.float16(), [audio.PATCH, audio.MELS], dim_names=["frame", "mel"])
+        got = table.column("mel").combine_chunks().to_numpy_ndarray()
+        assert r.n_frames == len(mel) and got.shape == (max(1, -(-len(mel) // 32)), 32, 40)
+        flat = got.reshape(-1, 40).astype(float)
+        assert np.abs(flat[: len(mel)] - mel).max() < 1 / 16
+        assert (flat[len(mel) :] <= flat[(len(got) - 1) * 32 : len(mel)].min()).all()
+        assert table.column("start_s").to_pylist() == [k * 0.32 for k in range(len(got))]
+        assert [(round(s.start_s, 4), round(s.end_s, 4)) for s in r.segments] == spans, r.doc_id
+
+
+def test_resampling_keeps_a_tone():
     t = np.arange(16_000) / 16_000
     x = np.sin(2 * np.pi * 500 * t).astype(np.float32)
     for target in (8_000, 12_000, 24_000):
@@ -86,9 +116,6 @@ def test_resampling_keeps_a_tone_and_patches_are_tensors(spark, odd_docs):
     e = np.zeros(50)
     e[20:30], e[30:] = 10, -1
     assert audio.segments(e).tolist() == [[20, 30]]
-    table = audio.patch_table(audio.mel_patches(audio.store(odd_docs)).toArrow())
-    assert table.schema.field("mel").type == pa.fixed_shape_tensor(pa.float32(), [audio.PATCH, audio.MELS], dim_names=["frame", "mel"])
-    assert table.column("mel").combine_chunks().to_numpy_ndarray().shape == (table.num_rows, audio.PATCH, audio.MELS)
 
 
 # ---- tokens ----

@@ -4,7 +4,8 @@ Every run of k words of a document is joined by its hash to the places in the
 templates where it stands. A hit votes for the diagonal (place in the document
 minus place in the template); a copy of a template is a diagonal with many
 votes. Neighbouring diagonals, which come from small insertions and deletions,
-are merged, and the span they cover is checked against the template's words.
+are merged, and the template's words are aligned, in their order, with those of
+the document along the merged diagonals.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .common import written
 from .native_words import grams, words
 
 #: Label, whether it is a base phrase, text.
@@ -33,7 +35,7 @@ TEMPLATES = (
 )
 #: Words in a gram: of templates of up to SHORT words, and of longer ones.
 SHORT, K_SHORT, K_LONG = 7, 2, 5
-#: Diagonals this near are one copy; the share of grams that must vote, and of the template's distinct words that the span must hold.
+#: Diagonals this near are one copy; the share of grams that must vote, and of the template's words that must be aligned.
 NEAR, VOTES, VERIFIED = 4, 0.4, 0.75
 
 
@@ -51,45 +53,75 @@ def template_grams(spark: SparkSession) -> DataFrame:
     return parts[0].unionAll(parts[1])
 
 
+def gram_rows(words_: str, k: int) -> Column:
+    return F.transform(grams(words_, k), lambda h, i: F.struct(F.lit(k).alias("k"), i.alias("at"), h.alias("h")))
+
+
+def candidates(docs: DataFrame, carry: tuple[str, ...]) -> DataFrame:
+    """row (the carried columns), n_words, rid (a number of the row) and w, its words where a gram is one of a template.
+
+    Written, so that the numbers stay what they are and texts are split once.
+    The templates are a constant: their hashes stand in the plan.
+    """
+    known = {k: [r.h for r in template_grams(docs.sparkSession).filter(F.col("k") == k).select("h").distinct().collect()] for k in (K_SHORT, K_LONG)}
+    rows = docs.select(F.struct(*carry).alias("row"), words(F.col("text")).alias("w"))
+    some = reduce(Column.__or__, [F.arrays_overlap(grams("w", k), F.array(*map(F.lit, hashes))) for k, hashes in known.items()])
+    rows = rows.select("row", F.size("w").cast("long").alias("n_words"), F.monotonically_increasing_id().alias("rid"), F.when(some, F.col("w")).alias("w"))
+    return written(rows, "license-candidates")
+
+
 def votes(rows: DataFrame) -> DataFrame:
-    """id, template and span of the candidate copies in documents (id, text)."""
-    spark = rows.sparkSession
-    with_words = rows.select("id", words(F.col("text")).alias("dw"))
-    hits = reduce(DataFrame.unionAll, [with_words.withColumn("g", grams("dw", k)).select("id", F.lit(k).alias("k"), F.posexplode_outer("g").alias("at", "h")) for k in (K_SHORT, K_LONG)])
-    hits = hits.join(F.broadcast(template_grams(spark)), ["k", "h"])  # the templates are a constant
-    by = ["id", "t", "label", "base", "w", "k", "n_grams"]
+    """rid, template and span of the candidate copies in rows (rid, w); from and to are the diagonals of a copy."""
+    hits = rows.select("rid", F.explode_outer(F.concat(gram_rows("w", K_SHORT), gram_rows("w", K_LONG))).alias("g")).select("rid", "g.*")
+    hits = hits.join(F.broadcast(template_grams(rows.sparkSession)), ["k", "h"])  # the templates are a constant
+    by = ["rid", "t", "k", "n_grams", "base"]
     diagonals = hits.groupBy(*by, (F.col("at") - F.col("place")).alias("diagonal")).agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("lo"), F.max("at").alias("hi"))
-    order = W.partitionBy("id", "t").orderBy("diagonal")
+    order = W.partitionBy("rid", "t").orderBy("diagonal")
     near = F.when(F.col("base"), 0).otherwise(NEAR)  # a base phrase has to stand as it is
     apart = F.coalesce(F.col("diagonal") - F.lag("diagonal").over(order) > near, F.lit(True))
     runs = diagonals.withColumn("apart", apart.cast("int")).withColumn("run", F.sum("apart").over(order))
-    merged = runs.groupBy(*by, "run").agg(F.min("lo").alias("lo"), (F.max("hi") + F.max("k")).alias("hi"), F.sum("n").alias("n"))
-    return merged.filter(F.col("n") >= F.when(F.col("base"), 1.0).otherwise(VOTES) * F.col("n_grams")).drop("run")
+    merged = runs.groupBy(*by, "run").agg(F.min("lo").alias("lo"), (F.max("hi") + F.max("k")).alias("hi"), F.sum("n").alias("n"), F.min("diagonal").alias("from"), F.max("diagonal").alias("to"))
+    return merged.filter(F.col("n") >= F.when(F.col("base"), 1.0).otherwise(VOTES) * F.col("n_grams")).select("rid", "t", "lo", "hi", "from", "to")
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """row, id, n_words, n_base, first_word, last_word, base_labels, labels, score and spans of every row.
+def aligned(w: Column, template: Column, first: Column, last: Column) -> Column:
+    """How many words of a template stand in ``w`` in the same order, each between the diagonals ``first`` and ``last``."""
 
-    Base places are exact: a base phrase whose grams all vote for one diagonal is
-    compared word by word. Other templates need VERIFIED of their distinct words
-    within the span; the score is the best share found (1 with a base place, 0
-    without any match). Spans are (label, first word, word past the end).
+    def step(acc: Column, p: Column) -> Column:
+        places = F.when(F.greatest(p + first, acc["end"]) <= p + last, F.sequence(F.greatest(p + first, acc["end"]), p + last))
+        at = F.get(F.filter(places, lambda q: F.get(w, q) == F.get(template, p)), F.lit(0))
+        return F.when(at.isNotNull(), F.struct((acc["n"] + 1).alias("n"), (at + 1).alias("end"))).otherwise(acc)
+
+    start = F.struct(F.lit(0).alias("n"), F.lit(0).alias("end"))
+    return F.aggregate(F.sequence(F.lit(0), F.size(template) - 1), start, step, lambda acc: acc["n"])
 
-    A null text has no words and no labels ('' and score 0). Rows that share a
-    doc_id, or lack one, are each checked on their own words.
-    """
-    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").alias("id"), F.col("text").cast("string").alias("text"))
-    found = votes(rows.select("id", "text")).groupBy("id").agg(F.collect_set(F.struct("lo", "hi", "label", "base", F.col("w").alias("tw"))).alias("found")).withColumnRenamed("id", "found_id")
-    joined = rows.join(found, F.col("id").eqNullSafe(F.col("found_id")), "left").withColumn("w", words(F.col("text"))).withColumn("found", F.coalesce("found", F.expr("filter(array(named_struct('lo', 0, 'hi', 0, 'label', '', 'base', true, 'tw', array(''))), x -> false)")))
 
-    def share(m: Column) -> Column:
-        own = F.slice("w", F.greatest(m["lo"], F.lit(0)) + 1, F.greatest(m["hi"] - m["lo"], F.lit(0)))
-        exact = F.when(own == m["tw"], 1.0).otherwise(0.0)
-        return F.when(m["base"], exact).otherwise(F.size(F.array_intersect(own, m["tw"])) / F.size(F.array_distinct(m["tw"])))
+def scan(docs: DataFrame, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """row (the carried columns), n_words, n_base, first_word, last_word, base_labels, labels, score and spans of every row.
 
-    checked = F.filter(F.transform("found", lambda m: F.struct(m["lo"].alias("lo"), m["hi"].alias("hi"), m["label"].alias("label"), m["base"].alias("base"), share(m).alias("share"))), lambda m: m["share"] >= F.when(m["base"], 1.0).otherwise(VERIFIED))
-    joined = joined.withColumn("checked", checked)
+    Base places are exact: a base phrase whose grams all vote for one diagonal is
+    compared word by word. Of other templates VERIFIED of the words must be
+    aligned with the document's; the score is the best share found (1 with a base
+    place, 0 without any match). Spans are (label, first word, word past the end).
+
+    A null text has no words and no labels ('' and score 0). Each row is judged
+    by its own words, whether its doc_id is null, repeated or neither: rows are
+    told apart by a number of their own. Only rows that hold a gram of a template
+    are shuffled, by that number; the others pass with nothing found.
+    """
+    rows = candidates(docs, carry)
+    some, none = rows.filter("w IS NOT NULL"), rows.filter("w IS NULL")
+    templates = F.broadcast(template_table(docs.sparkSession).withColumnRenamed("w", "tw"))  # a constant
+    found = some.select("rid", "w").join(votes(some.select("rid", "w")), "rid").join(templates, "t")
+    share = aligned(F.col("w"), F.col("tw"), F.col("from"), F.col("to")) / F.size("tw")
+    found = found.select("rid", "lo", "hi", "label", "base", share.alias("share")).filter(F.col("share") >= F.when(F.col("base"), 1.0).otherwise(VERIFIED))
+    found = found.groupBy("rid").agg(F.collect_list(F.struct("lo", "hi", "label", "base", "share")).alias("checked"))
     base = F.filter("checked", lambda m: m["base"])
     names = lambda of: F.array_join(F.array_sort(F.array_distinct(F.transform(of, lambda m: m["label"]))), ",")
     starts = F.transform(base, lambda m: m["lo"].cast("long"))
-    return joined.select("row", "id", F.size("w").cast("long").alias("n_words"), F.size(base).cast("long").alias("n_base"), F.array_min(starts).alias("first_word"), F.array_max(starts).alias("last_word"), names(base).alias("base_labels"), names(F.col("checked")).alias("labels"), F.coalesce(F.array_max(F.transform("checked", lambda m: m["share"])), F.lit(0.0)).alias("score"), F.array_sort(F.transform("checked", lambda m: F.struct(m["label"].alias("label"), m["lo"].alias("first"), m["hi"].alias("past")))).alias("spans"))
+    spans = F.array_sort(F.transform("checked", lambda m: F.struct(m["label"].alias("label"), m["lo"].alias("first"), m["hi"].alias("past"))))
+    columns = {"n_base": F.size(base).cast("long"), "first_word": F.array_min(starts), "last_word": F.array_max(starts), "base_labels": names(base), "labels": names(F.col("checked")), "score": F.array_max(F.transform("checked", lambda m: m["share"])), "spans": spans}
+    empty = {"n_base": F.lit(0).cast("long"), "base_labels": F.lit(""), "labels": F.lit(""), "score": F.lit(0.0), "spans": F.array()}
+    found = some.select("rid", "row", "n_words").join(found, "rid", "left").select("row", "n_words", *[F.coalesce(c, empty[n]).alias(n) if n in empty else c.alias(n) for n, c in columns.items()])
+    nothing = [empty.get(n, F.lit(None)).cast(found.schema[n].dataType).alias(n) for n in columns]
+    return found.unionAll(none.select("row", "n_words", *nothing))

@@ -27,3 +27,9 @@ def grams(words: str, k: int) -> Column:
     w = F.col(words)
     run = lambda i: F.xxhash64(F.lit(k), *[w[i + j] for j in range(k)])
     return F.when(F.size(w) >= k, F.transform(F.sequence(F.lit(0), F.size(w) - k), run)).otherwise(F.array().cast("array<bigint>"))
+
+
+def row_key(*columns: Column) -> list[Column]:
+    """Two independent 64-bit hashes, k1 and k2, that tell rows apart by what they hold; nulls count."""
+    parts = [x for c in columns for x in (c.isNull(), c)]
+    return [F.xxhash64(F.lit(seed), *parts).alias(f"k{seed}") for seed in (1, 2)]

@@ -78,6 +78,37 @@ def licenses(text):
     return len(w), len(at), min((k for k, _ in at), default=None), max((k for k, _ in at), default=None), ",".join(sorted({x for _, x in at}))
 
 
+def license_labels(text, templates):
+    """(labels, score): runs of near diagonals of shared word grams with enough votes, aligned word by word in order."""
+    w, best, labels = words(text), 0.0, set()
+    for label, base, t in templates:
+        t = words(t)
+        k = 2 if len(t) <= 7 else 5
+        count = {}
+        for p in range(len(t) - k + 1):
+            for at in range(len(w) - k + 1):
+                if t[p : p + k] == w[at : at + k]:
+                    count[at - p] = count.get(at - p, 0) + 1
+        runs = []
+        for d in sorted(count):
+            if runs and d - runs[-1][-1] <= (0 if base else 4):
+                runs[-1].append(d)
+            else:
+                runs.append([d])
+        for run in runs:
+            if sum(count[d] for d in run) < (1.0 if base else 0.4) * (len(t) - k + 1):
+                continue
+            n = end = 0
+            for p, x in enumerate(t):
+                at = [q for q in range(max(p + run[0], end, 0), min(p + run[-1] + 1, len(w))) if w[q] == x]
+                if at:
+                    n, end = n + 1, at[0] + 1
+            if n / len(t) >= (1.0 if base else 0.75):
+                labels.add(label)
+                best = max(best, n / len(t))
+    return ",".join(sorted(labels)), round(best, 9)
+
+
 def audio(data):
     """Log-mel frames [n, 40], and (start, end) seconds of the segments, of 8-bit samples at 16 kHz."""
     x = (np.frombuffer(data, np.uint8).astype(float) - 128) / 128

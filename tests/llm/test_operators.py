@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import random
 import zlib
 
 import brute
@@ -287,7 +288,7 @@ def benchmark(spark, odd_texts):
 
 def test_contamination(odd_texts, odd_docs, benchmark):
     items, df = benchmark
-    out = by_id(decontaminate.contamination(odd_docs, df), "id")
+    out = {r.row.doc_id: r for r in decontaminate.contamination(odd_docs, df, ("doc_id", "source")).collect()}
     for i, t in odd_texts:
         assert tuple(out[i][c] for c in ("n_words", "n_hit", "n_items", "items_sha256", "contaminated")) == brute.contamination(t, items), i
     assert out[10].row.source == "s"
@@ -295,38 +296,109 @@ def test_contamination(odd_texts, odd_docs, benchmark):
 
 def test_contamination_repeated_and_empty(spark, repeated_docs, no_docs, benchmark):
     items, df = benchmark
-    out = decontaminate.contamination(repeated_docs, df).collect()
+    out = decontaminate.contamination(repeated_docs, df, ("doc_id", "text")).collect()
     assert len(out) == repeated_docs.count()
     for r in out:
         assert (r.n_words, r.n_hit, r.n_items) == brute.contamination(r.row.text, items)[:3]
     assert decontaminate.contamination(no_docs, df).count() == 0
     assert decontaminate.contamination(repeated_docs, df.limit(0)).filter("contaminated").count() == 0
+    left = decontaminate.clean(repeated_docs, df)
+    assert left.columns == repeated_docs.columns
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == sorted((r.row.doc_id or 0, r.row.text or "") for r in out if not r.contaminated)
+
+
+def test_contamination_of_many_rows_without_id(spark):
+    """Rows without an id, each with a seed, are not gathered under one key: no row of a plan's output meets all others."""
+    items = spark.createDataFrame([(1, prose(1, 40))], "item_id long, text string")
+    docs = [(None, f"{prose(1, 40)} own{i}") for i in range(3_000)]
+    out = decontaminate.hits(spark.createDataFrame(docs, "doc_id long, text string"), items)
+    sizes = out.groupBy("k1", "k2").count().agg(F.count(F.lit(1)), F.max("count")).first()
+    assert tuple(sizes) == (3_000, 1)
+    assert out.filter("n_hit = 40 AND n_words = 41 AND items = array('1')").count() == 3_000
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.lists(st.lists(st.sampled_from("ab"), max_size=40), min_size=1, max_size=4), st.lists(st.lists(st.sampled_from("ab"), max_size=20), min_size=1, max_size=4))
+def test_contamination_of_few_words(spark, texts, items):
+    """Words so few that hashes, seeds and windows repeat everywhere."""
+    docs = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    items = [(i, " ".join(t)) for i, t in enumerate(items)]
+    out = decontaminate.contamination(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {r.row.doc_id: tuple(r)[1:] for r in out} == {i: brute.contamination(t, items) for i, t in docs}
 
 
 def test_licenses(odd_texts, odd_docs, repeated_docs, no_docs):
-    out = by_id(licenses.scan(odd_docs), "id")
+    out = {r.row.doc_id: r for r in licenses.scan(odd_docs, ("doc_id", "source")).collect()}
     for i, t in odd_texts:
         assert tuple(out[i][c] for c in ("n_words", "n_base", "first_word", "last_word", "base_labels")) == brute.licenses(t), i
+        assert out[i].row.source == "s"
     notice = next(i for i, t in odd_texts if t and t.startswith("Permission"))
     assert out[notice].labels == "mit" and len(out[notice].spans) == 2 and out[10].labels == "" and out[10].score == 0.0
-    again = licenses.scan(repeated_docs).collect()
+    again = licenses.scan(repeated_docs, ("text",)).collect()
     assert len(again) == repeated_docs.count()
     assert all((r.n_words, r.n_base) == brute.licenses(r.row.text)[:2] for r in again)
     assert licenses.scan(no_docs).count() == 0
 
 
+def test_license_labels_of_repeated_ids_and_turned_words(spark):
+    """Rows of one id, or without one, are judged by their own words, and those in their order."""
+    notice = next(t for label, base, t in licenses.TEMPLATES if label == "bsd")
+    turned = " ".join(reversed(notice.split()))
+    halves = notice.split()
+    halves = " ".join(halves[12:] + halves[:12])
+    rows = [(i, t) for i in (1, None) for t in (notice, turned, halves, "plain words", notice, None)]
+    out = licenses.scan(spark.createDataFrame(rows, "doc_id long, text string"), ("doc_id", "text")).collect()
+    assert sorted((r.row.doc_id or 0, r.row.text or "", r.labels, r.score) for r in out) == sorted((i or 0, t or "", "bsd" if t == notice else "", float(t == notice)) for i, t in rows)
+
+
+@settings(max_examples=40, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), min_size=1, max_size=8), st.lists(st.sampled_from("abcd"), max_size=12), st.integers(-2, 3), st.integers(0, 3))
+def test_alignment(spark, template, w, first, more):
+    n = end = 0
+    for p, x in enumerate(template):
+        at = next((q for q in range(max(p + first, end), p + first + more + 1) if q < len(w) and w[q] == x), None)
+        if at is not None:
+            n, end = n + 1, at + 1
+    array = lambda x: F.array(*map(F.lit, x)).cast("array<string>")
+    assert spark.range(1).select(licenses.aligned(array(w), array(template), F.lit(first), F.lit(first + more))).first()[0] == n
+
+
+def test_licenses_by_brute_force(spark):
+    """Labels and scores of documents made of templates with changes, against a direct search."""
+    r, rows = random.Random(4), []
+    for i in range(120):
+        parts = prose(i, 30).split()
+        for _ in range(r.randint(0, 2)):
+            t = [x for x in r.choice(licenses.TEMPLATES)[2].split()]
+            for _ in range(r.randint(0, 4)):
+                t[r.randrange(len(t))] = r.choice(["", "other words", "x"])
+            at = r.randrange(len(parts))
+            parts[at:at] = t
+        rows.append((i, " ".join(parts)))
+    out = {r.row.doc_id: (r.labels, round(r.score, 9)) for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, t in rows:
+        assert out[i] == brute.license_labels(t, licenses.TEMPLATES), i
+
+
 def test_license_with_changes_is_found_on_near_diagonals(spark):
     notice = next(t for label, base, t in licenses.TEMPLATES if label == "bsd").split()
     notice[6:6] = ["very", "much"]
     del notice[14]
     df = spark.createDataFrame([(1, "x y z " + " ".join(notice) + " more"), (2, " ".join(notice[:6]))], "doc_id long, text string")
-    out = by_id(licenses.scan(df), "id")
+    out = {r.row.doc_id: r for r in licenses.scan(df).collect()}
     assert out[1].labels == "bsd" and 0.75 <= out[1].score <= 1 and out[1].n_base == 0
     assert out[2].labels == ""
 
 
 def test_native_plans(odd_docs, benchmark):
-    for df in (decontaminate.contamination(odd_docs, benchmark[1]), licenses.scan(odd_docs)):
+    """Neither the last plan nor those of what is written on the way run Python."""
+    plans = []
+    with pytest.MonkeyPatch.context() as m:
+        for module in (decontaminate, licenses):
+            m.setattr(module, "written", lambda df, name: plans.append(df) or common.written(df, name))
+        plans += [decontaminate.contamination(odd_docs, benchmark[1]), decontaminate.clean(odd_docs, benchmark[1]), licenses.scan(odd_docs)]
+    assert len(plans) == 16
+    for df in plans:
         plan = df._jdf.queryExecution().executedPlan().toString()
         assert "Python" not in plan and "Pandas" not in plan and "Arrow" not in plan
 

@@ -34,6 +34,8 @@ PIECE_BYTES, HELD = 1 << 20, 1 << 18
 #: Features that a task counts before it passes the counts on.
 COUNTED = 100_000
 ITERATIONS, RATE, PRIOR = 500, 0.15, 0.3
+#: Folds and documents of each class (at most) by which the threshold is set, what a clean document above it counts, the prior's weight.
+FOLDS, CALIBRATE_EACH, CLEAN_COUNTS, PRIOR_DOCS = 4, 2_000, 5.0, 10.0
 
 
 def word_features(word: str) -> list[str]:
@@ -42,16 +44,16 @@ def word_features(word: str) -> list[str]:
 
 
 class Model(dict):
-    """Weights of features, and of words as they are asked for; ``bias`` is a sentence's."""
+    """Weights of features, and of words as they are asked for; ``bias`` is a sentence's, ``cut`` the log-odds that score 0.5."""
 
     MOST = 200_000
 
-    def __init__(self, weights: dict[str, float], bias: float):
+    def __init__(self, weights: dict[str, float], bias: float, cut: float = 0.0):
         super().__init__()
-        self.weights, self.bias = weights, bias
+        self.weights, self.bias, self.cut = weights, bias, cut
 
     def __reduce__(self):
-        return Model, (self.weights, self.bias)
+        return Model, (self.weights, self.bias, self.cut)
 
     def __missing__(self, word: str) -> float:
         if len(self) >= self.MOST:
@@ -69,12 +71,15 @@ class Model(dict):
                 yield m.start(), m.end(), self.bias + sum(sorted(found.values()))
 
     def score(self, text: str) -> tuple[float, int]:
-        """Noisy-or of all sentences, and how many are toxic by themselves; no words: 0."""
+        """Noisy-or of all sentences, its log-odds moved by ``cut``, and how many are toxic by themselves; no words: 0."""
         quiet, offending = 0.0, 0
         for _, _, z in self.sentences(text.lower()):
             quiet += math.log1p(math.exp(z)) if z < 30 else z  # -log(1 - p)
             offending += z >= 0
-        return -math.expm1(-quiet), offending
+        if not quiet:
+            return 0.0, 0
+        odds = quiet if quiet > 30 else math.log(math.expm1(quiet))
+        return 1 / (1 + math.exp(min(700.0, self.cut - odds))), offending
 
 
 def training_ids(labels: DataFrame, each: int = SAMPLE_EACH) -> DataFrame:
@@ -89,9 +94,9 @@ def training_ids(labels: DataFrame, each: int = SAMPLE_EACH) -> DataFrame:
 
 
 def training_texts(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH) -> DataFrame:
-    """toxic and the whole text of the training documents."""
+    """toxic, fold (by the text: equal ones share it) and the whole text of the training documents."""
     ids = F.broadcast(training_ids(labels, each))  # at most 2 * each rows of two numbers
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(ids, "doc_id").select("text", "toxic")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text")).join(ids, "doc_id").select("text", "toxic", F.pmod(F.xxhash64("text"), F.lit(FOLDS)).cast("int").alias("fold"))
 
 
 def instances(text: str) -> Iterator[set[str]]:
@@ -133,7 +138,7 @@ def select_features(texts: DataFrame, most: int = FEATURES) -> DataFrame:
 
 
 def bags(texts: DataFrame, names: list[str]) -> DataFrame:
-    """toxic and the sentences of each text as indices into ``names``.
+    """toxic, fold and the sentences of each text as indices into ``names``.
 
     Equal sentences of a text are one of ``rows``, which stands ``times`` times;
     ``bare`` counts the sentences with none of the features.
@@ -160,10 +165,95 @@ def bags(texts: DataFrame, names: list[str]) -> DataFrame:
                 times.append([n[r] for r in order])
             ends = pa.array(np.cumsum([0, *map(len, rows)]), pa.int32())
             rows = pa.ListArray.from_arrays(ends, pa.concat_arrays(rows))
-            yield pa.RecordBatch.from_arrays([b.column("toxic"), rows, pa.array(times, pa.list_(pa.int32())), pa.array(bare, pa.int64())], ["toxic", "rows", "times", "bare"])
+            yield pa.RecordBatch.from_arrays([b.column("toxic"), b.column("fold"), rows, pa.array(times, pa.list_(pa.int32())), pa.array(bare, pa.int64())], ["toxic", "fold", "rows", "times", "bare"])
         give_back()
 
-    return texts.mapInArrow(run, "toxic int, rows array<array<int>>, times array<int>, bare long")
+    return texts.mapInArrow(run, "toxic int, fold int, rows array<array<int>>, times array<int>, bare long")
+
+
+class Bags:
+    """Sentences as indices of features, flat: those of a document lie together."""
+
+    def __init__(self, toxic, fold, per_doc, times, bare, sizes, cols):
+        self.toxic, self.fold, self.per_doc, self.times, self.bare, self.sizes, self.cols = toxic, fold, per_doc, times, bare, sizes, cols
+        self.ends = np.cumsum(np.append(0, sizes))
+        self.doc_of = np.repeat(np.arange(len(toxic), dtype=np.int32), per_doc)
+        self.blocks = _blocks(self.ends)
+
+    @classmethod
+    def of(cls, sample: pa.Table) -> Bags:
+        one = sample.combine_chunks()
+        rows = one.column("rows").combine_chunks()
+        inner = rows.flatten()
+        # the buffers of a slice begin elsewhere, so all are taken from what flatten() gives
+        lengths = [pa.compute.list_value_length(x).to_numpy() for x in (rows, inner)]
+        times = one.column("times").combine_chunks().flatten().to_numpy().astype(float)
+        return cls((one.column("toxic").to_numpy() == 1).astype(float), one.column("fold").to_numpy(), lengths[0], times, one.column("bare").to_numpy().astype(float), lengths[1], inner.flatten().to_numpy())
+
+    def part(self, use: np.ndarray) -> Bags:
+        """Those of the documents in ``use``."""
+        mine = use[self.doc_of]
+        return Bags(self.toxic[use], self.fold[use], self.per_doc[use], self.times[mine], self.bare[use], self.sizes[mine], self.cols[np.repeat(mine, self.sizes)])
+
+    def both(self) -> bool:
+        return len(self.toxic) > 0 and self.toxic.min() < self.toxic.max()
+
+    def quiet(self, theta: np.ndarray, bias: float, z: np.ndarray | None = None) -> np.ndarray:
+        """-log P(not toxic) of each document; ``z`` takes the logits of the sentences."""
+        z = np.zeros(len(self.sizes)) if z is None else z
+        for lo, hi in self.blocks:
+            z[lo:hi] = bias + np.add.reduceat(theta[self.cols[self.ends[lo] : self.ends[hi]]], self.ends[lo:hi] - self.ends[lo])
+        return np.bincount(self.doc_of, self.times * np.logaddexp(0, z), len(self.toxic)) + self.bare * np.logaddexp(0, bias)
+
+    def weights(self, n_features: int) -> tuple[np.ndarray, float]:
+        """Weights and bias that follow the likelihood of the documents' labels; both classes count the same."""
+        n, toxic, ends = len(self.toxic), self.toxic, self.ends
+        each = np.where(toxic > 0, 0.5 / toxic.sum(), 0.5 / (n - toxic.sum()))
+        theta, bias = np.zeros(n_features), -3.0
+        m, v = np.zeros(n_features + 1), np.zeros(n_features + 1)
+        z = np.zeros(len(ends) - 1)
+        for step in range(1, ITERATIONS + 1):
+            quiet = self.quiet(theta, bias, z)
+            # d(-log likelihood)/d quiet: 1 where clean, -(1 - p) / p where toxic
+            slope = each * np.where(toxic > 0, -np.exp(-quiet) / np.maximum(-np.expm1(-quiet), 1e-9), 1.0)
+            ds = slope[self.doc_of] * self.times / (1 + np.exp(-z))
+            g = np.append(PRIOR / n * theta, ds.sum() + (slope * self.bare).sum() / (1 + np.exp(-bias)))
+            for lo, hi in self.blocks:
+                g[:-1] += np.bincount(self.cols[ends[lo] : ends[hi]], np.repeat(ds[lo:hi], np.diff(ends[lo : hi + 1])), n_features)
+            m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
+            move = RATE * (1 - step / (ITERATIONS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
+            theta, bias = theta - move[:-1], bias - move[-1]
+        return theta, float(bias)
+
+
+def threshold(own: Bags, n_features: int, each: int = CALIBRATE_EACH) -> float:
+    """The log-odds of a document from which on it is called toxic.
+
+    Documents are scored by weights fitted on the other folds, since weights
+    flatter the documents that they were fitted on, the more so the fewer there
+    are. The cut is where the share of toxic documents above it, less
+    CLEAN_COUNTS times that of clean ones, is largest, drawn towards even odds as
+    PRIOR_DOCS documents would. At most ``each`` documents of a class take part.
+    """
+    rank = np.where(own.toxic > 0, np.cumsum(own.toxic), np.cumsum(1 - own.toxic))
+    own = own.part(rank <= each)
+    odds = np.full(len(own.toxic), -np.inf)
+    for k in range(FOLDS):
+        rest = own.part(own.fold != k)
+        if rest.both():
+            odds[own.fold == k] = log_odds(own.part(own.fold == k).quiet(*rest.weights(n_features)))
+    order = np.argsort(-odds, kind="stable")
+    up = np.cumsum(own.toxic[order]) / own.toxic.sum() - CLEAN_COUNTS * np.cumsum(1 - own.toxic[order]) / (1 - own.toxic).sum()
+    last = np.append(odds[order][1:] < odds[order][:-1], True)  # a cut does not part equal scores
+    best = int(np.argmax(np.where(last, up, -np.inf)))
+    ends = odds[order][best : best + 2]
+    cut = float(np.clip(ends[np.isfinite(ends)], -5, 5).mean()) if up[best] > 0 and np.isfinite(ends[0]) else 0.0
+    return cut * own.toxic.sum() / (own.toxic.sum() + PRIOR_DOCS)
+
+
+def log_odds(quiet: np.ndarray) -> np.ndarray:
+    """log(p / (1 - p)) of p = 1 - exp(-quiet)."""
+    return np.where(quiet > 30, quiet, np.log(np.maximum(np.expm1(np.minimum(quiet, 30)), 1e-300)))
 
 
 def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH, most: int = FEATURES) -> Model:
@@ -174,40 +264,11 @@ def fit(docs: DataFrame, labels: DataFrame, each: int = SAMPLE_EACH, most: int =
     """
     texts = written(training_texts(docs, labels, each), "toxicity")
     names = sorted(r.f for r in select_features(texts, most).collect())
-    sample = bags(texts, names).toArrow()  # 2 * each rows at most
-    toxic = (sample.column("toxic").to_numpy() == 1).astype(float)
-    if not len(names) or toxic.min(initial=1) == toxic.max(initial=0):
+    own = Bags.of(bags(texts, names).toArrow())  # 2 * each rows at most
+    if not len(names) or not own.both():
         return Model({}, -40.0)
-    order = sample.combine_chunks()
-    del sample
-    rows = order.column("rows").combine_chunks()
-    inner = rows.flatten()
-    # the buffers of a slice begin elsewhere, so all are taken from what flatten() gives
-    ends, cols = np.cumsum(np.append(0, pa.compute.list_value_length(inner).to_numpy())), inner.flatten().to_numpy()
-    per_doc = pa.compute.list_value_length(rows).to_numpy()
-    doc_of = np.repeat(np.arange(len(toxic), dtype=np.int32), per_doc)
-    times = order.column("times").combine_chunks().flatten().to_numpy().astype(float)
-    blocks = _blocks(ends)
-    bare, n = order.column("bare").to_numpy().astype(float), len(toxic)
-    weight = np.where(toxic > 0, 0.5 / toxic.sum(), 0.5 / (n - toxic.sum()))
-    theta, bias = np.zeros(len(names)), -3.0
-    m, v = np.zeros(len(names) + 1), np.zeros(len(names) + 1)
-    z = np.zeros(len(ends) - 1)
-    for step in range(1, ITERATIONS + 1):
-        for lo, hi in blocks:
-            z[lo:hi] = bias + np.add.reduceat(theta[cols[ends[lo] : ends[hi]]], ends[lo:hi] - ends[lo])
-        quiet = np.bincount(doc_of, times * np.logaddexp(0, z), n) + bare * np.logaddexp(0, bias)  # -log P(not toxic)
-        p = -np.expm1(-quiet)
-        # d(-log likelihood)/d quiet: 1 where clean, -(1 - p) / p where toxic
-        slope = weight * np.where(toxic > 0, -np.exp(-quiet) / np.maximum(p, 1e-9), 1.0)
-        ds = slope[doc_of] * times / (1 + np.exp(-z))
-        g = np.append(PRIOR / n * theta, ds.sum() + (slope * bare).sum() / (1 + np.exp(-bias)))
-        for lo, hi in blocks:
-            g[:-1] += np.bincount(cols[ends[lo] : ends[hi]], np.repeat(ds[lo:hi], np.diff(ends[lo : hi + 1])), len(names))
-        m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
-        move = RATE * (1 - step / (ITERATIONS + 1)) * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-9)
-        theta, bias = theta - move[:-1], bias - move[-1]
-    return Model({f: float(w) for f, w in zip(names, theta, strict=True) if abs(w) > 1e-3}, float(bias))
+    theta, bias = own.weights(len(names))
+    return Model({f: float(w) for f, w in zip(names, theta, strict=True) if abs(w) > 1e-3}, bias, threshold(own, len(names)))
 
 
 def _blocks(ends: np.ndarray) -> list[tuple[int, int]]:

@@ -535,11 +535,58 @@ def test_toxicity_of_long_documents(spark):
 
 
 def test_toxicity_bags_merge_equal_sentences(spark):
-    texts = spark.createDataFrame([("Bad day. good day! Bad day? Nothing\n", 1), ("", 0), ("... bad", 0)], "text string, toxic int").coalesce(1)
+    texts = spark.createDataFrame([("Bad day. good day! Bad day? Nothing\n", 1, 0), ("", 0, 1), ("... bad", 0, 2)], "text string, toxic int, fold int").coalesce(1)
     out = toxicity.bags(texts, ["bad", "day", "good"]).collect()
     assert [(r.toxic, r.rows, r.times, r.bare) for r in out] == [(1, [[0, 1], [1, 2]], [2, 1], 1), (0, [], [], 0), (0, [[0]], [1], 0)]
 
 
+def test_toxicity_by_plain_formulas(labelled, odd_texts, odd_docs):
+    """Scores against noisy-or computed sentence by sentence, and repeated rows and null ids."""
+    model = toxicity.fit(*labelled)
+    foul = odd_docs.withColumn("text", F.concat_ws(". A foulword here! ", "text", "text"))
+    out = by_id(toxicity.score(foul, model))
+    for i, t in odd_texts:
+        whole = "" if t is None else f"{t}. A foulword here! {t}"
+        clean = 1.0
+        for sentence in re.split(r"[.!?\n]+", whole.lower()):
+            words = set(re.findall(r"[^\W_]+", sentence))
+            if words:
+                own = [f for w in words for f in (w, *(f"{w[:n]}*" for n in (3, 4, 5, 6) if len(w) >= n))]
+                clean *= 1 / (1 + np.exp(model.bias + sum(model.weights.get(f, 0.0) for f in own)))
+        want = 0.0 if clean == 1 else 1.0 if clean == 0 else 1 / (1 + np.exp(model.cut) * clean / (1 - clean))
+        assert abs(out[i].score - want) < 1e-6 and out[i].predicted == int(want >= 0.5), i
+
+
+def test_toxicity_of_repeated_rows(labelled, repeated_docs):
+    model = toxicity.fit(*labelled)
+    out = toxicity.score(repeated_docs, model).collect()
+    assert len(out) == repeated_docs.count()
+    assert [r.held_out for r in out if r.doc_id is None] == [False] * 2
+    twice = {}
+    for r in out:
+        twice.setdefault(r.doc_id, set()).add(r.score)
+    assert all(len(x) == 1 for i, x in twice.items() if i not in (None, 11))
+
+
+def test_toxicity_threshold_with_few_labels(spark):
+    """A third of the toxic words are in no labelled document but one: the threshold does not rest on flattered scores."""
+    r = random.Random(3)
+    rows, labels = [], []
+    foul = [f"foul{x}" for x in "abcdefgh"]
+    for i in range(300):
+        sentences = [prose(i * 10 + k, 8) for k in range(6)]
+        if i % 6 == 0:
+            sentences[2] += " " + r.choice(foul)
+        rows.append((i, ". ".join(sentences)))
+        labels.append((i, 1, int(i % 6 == 0)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = toxicity.fit(docs, spark.createDataFrame(labels, "doc_id long, quality int, toxic int"))
+    held = [x for x in toxicity.score(docs, model).collect() if x.held_out]
+    toxic = [x for x in held if x.doc_id % 6 == 0]
+    assert sum(x.predicted for x in toxic) >= 0.8 * len(toxic)
+    assert sum(x.predicted for x in held if x.doc_id % 6) <= 0.05 * len(held)
+
+
 def test_toxicity_without_labels(labelled):
     docs, labels = labelled
     for own in (labels.limit(0), labels.filter("toxic = 0")):

@@ -336,7 +336,8 @@ def groups(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     found = written(suspects(left, percent), "suspects")
     sets = written(full_sets(found.select("node").distinct(), docs), "sets")
     slim = written(found.join(known, ["key", "node"]).join(sketched, "node"), "suspects")
-    weights = slim.groupBy("key").agg((8 * F.sum("n_shingles")).alias("weight"), F.count(F.lit(1)).alias("members"))
+    # written, so that the join reads two plain sides: of these adaptive execution splits a hot key
+    weights = written(slim.groupBy("key").agg((8 * F.sum("n_shingles")).alias("weight"), F.count(F.lit(1)).alias("members")), "weights")
     left = slim.join(weights, "key").join(sets, "node")  # the sets last: they are dealt once
     links = links.unionAll(written(links_in_blocks(left, percent), "links"))
     labels = components(links)

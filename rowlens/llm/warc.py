@@ -3,15 +3,19 @@
 An archive file starts with a skippable frame (magic ``5D 2A 4D 18``) that holds
 a dictionary trained on the first records of the archive; each record follows as
 one frame compressed with it, so that any record can be read by its offset.
-Between frames stands an empty skippable frame. That frame is eight ASCII bytes,
-so Spark's own text writer, with the frame as its line separator, writes the
-files: the commit protocol, retries and any Hadoop file system come with it.
+Frames are gathered in pieces of about ROW_BYTES, and between pieces stands an
+empty skippable frame. That frame is eight ASCII bytes, so Spark's own text
+writer, with the frame as its line separator, writes the files: the commit
+protocol, retries and any Hadoop file system come with it. After a set number of
+pieces it starts a new file, and so does the dictionary: an archive has one, and
+is small enough to be read whole by a task, however large a partition is.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
+import itertools
 import struct
 from collections.abc import Iterator
 
@@ -26,6 +30,8 @@ from .common import freed_shuffles
 SEPARATOR = "P*M\x18\x00\x00\x00\x00"
 DICT_MAGIC = 0x184D2A5D
 ZSTD_MAGIC = 0xFD2FB528
+#: Bytes of a piece of an archive, and of an archive, after which the next begins.
+ROW_BYTES, ARCHIVE_BYTES = 1 << 20, 64 << 20
 
 RECORD_SCHEMA = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary"
 
@@ -86,58 +92,59 @@ def train_dictionary(samples: list[bytes], size: int) -> zstandard.ZstdCompressi
     return zstandard.ZstdCompressionDict(b"".join(samples)[:size] or b"WARC/1.1\r\n", dict_type=zstandard.DICT_TYPE_RAWCONTENT)
 
 
-def frames(records: Iterator[bytes], archive_bytes: int, sample_bytes: int, dict_bytes: int, level: int) -> Iterator[bytes]:
-    """The frames of an archive; after ``archive_bytes`` of records a new dictionary starts.
+def archive_rows(records: Iterator[bytes], rows_per_archive: int, row_bytes: int, sample_bytes: int, dict_bytes: int, level: int) -> Iterator[bytes]:
+    """The archives of some records, in pieces; every ``rows_per_archive``-th piece starts one with its dictionary.
 
-    The dictionary is trained on the first ``sample_bytes`` of each stretch, so
-    memory holds that many bytes of records however long the archive gets.
+    A dictionary is trained on the first ``sample_bytes`` of the archive's records,
+    so memory holds that many bytes of records and one piece.
     """
-    held: list[bytes] = []
-    size, packer = 0, None
-
-    def start() -> tuple[zstandard.ZstdCompressor, list[bytes]]:
-        d = train_dictionary(held, dict_bytes)
-        own = d.as_bytes()
-        pack = zstandard.ZstdCompressor(level=level, dict_data=d, write_content_size=True, write_checksum=True)
-        return pack, [struct.pack("<II", DICT_MAGIC, len(own)) + own, *map(pack.compress, held)]
-
-    for r in records:
-        size += len(r)
-        if packer is None:
-            held.append(r)
-            if size >= sample_bytes:
-                packer, out = start()
-                yield from out
-                held = []
-        else:
-            yield packer.compress(r)
-            if size >= archive_bytes:
-                size, packer = 0, None
-    if held:
-        yield from start()[1]
-
-
-def write_archives(records: DataFrame, path: str, archive_bytes: int = 256 << 20, sample_bytes: int = 1 << 20, dict_bytes: int = 32 << 10, level: int = 3, date: str = "1970-01-01T00:00:00Z") -> None:
-    """Write the rows of ``plan_records`` as archive files in ``path``, one per partition."""
+    records = iter(records)
+    more = next(records, None)
+    while more is not None:
+        held, size = [], 0
+        while more is not None and (not held or size + len(more) <= sample_bytes):
+            held.append(more)
+            size += len(more)
+            more = next(records, None)
+        trained = train_dictionary(held, dict_bytes)
+        own = trained.as_bytes()
+        pack = zstandard.ZstdCompressor(level=level, dict_data=trained, write_content_size=True, write_checksum=True)
+        row = bytearray(struct.pack("<II", DICT_MAGIC, len(own)) + own)
+        rows = 0
+        held.reverse()
+        while rows < rows_per_archive and (held or more is not None):
+            if held:
+                row += pack.compress(held.pop())
+            else:
+                row += pack.compress(more)
+                more = next(records, None)
+            if len(row) >= row_bytes:
+                yield bytes(row)
+                row.clear()
+                rows += 1
+        if row:
+            yield bytes(row)
+        if held:  # pieces smaller than the sample
+            records, more = itertools.chain(reversed(held), [] if more is None else [more], records), None
+            more = next(records, None)
+
+
+def write_archives(records: DataFrame, path: str, archive_bytes: int = ARCHIVE_BYTES, sample_bytes: int = 1 << 20, dict_bytes: int = 32 << 10, level: int = 3, date: str = "1970-01-01T00:00:00Z", row_bytes: int = ROW_BYTES) -> None:
+    """Write the rows of ``plan_records`` as archive files of about ``archive_bytes`` in ``path``, one or more per partition."""
+    per_file = max(1, archive_bytes // row_bytes)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows() -> Iterator[bytes]:
+        def records_() -> Iterator[bytes]:
             for b in batches:
                 for i in range(b.num_rows):
                     yield record_bytes(*(b.column(c)[i].as_py() for c in ("page_id", "url", "payload", "sha", "refers_to")), date)
 
-        held, size = [], 0
-        for f in frames(rows(), archive_bytes, sample_bytes, dict_bytes, level):
-            held.append(f)
-            size += len(f)
-            if size >= 4 << 20:
-                yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["frame"])
-                held, size = [], 0
-        if held:
-            yield pa.RecordBatch.from_arrays([pa.array(held, pa.binary())], ["frame"])
+        for row in archive_rows(records_(), per_file, row_bytes, sample_bytes, dict_bytes, level):
+            yield pa.RecordBatch.from_arrays([pa.array([row], pa.binary())], ["row"])
 
     with freed_shuffles(records.sparkSession):
-        records.mapInArrow(run, "frame binary").select(F.col("frame").cast("string").alias("value")).write.option("lineSep", SEPARATOR).text(path)
+        rows = records.mapInArrow(run, "row binary").select(F.col("row").cast("string").alias("value"))
+        rows.write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", per_file).text(path)
 
 
 def frame_end(buf: memoryview, at: int) -> int:
@@ -192,6 +199,7 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
     """The records of all archives in ``path``: a row of RECORD_SCHEMA each (payload null for revisits).
 
     Every record is decompressed and checked; ``payloads=False`` leaves them out of the rows.
+    A task holds one archive, which the writer bounds, and the records of some bytes.
     """
     names = [x.split()[0] for x in RECORD_SCHEMA.split(", ")]
     types = [pa.int64(), pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.binary()]
@@ -201,12 +209,13 @@ def read_archives(spark: SparkSession, path: str, payloads: bool = True) -> Data
         make = lambda rows: pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(list(zip(*rows, strict=True))[:keep], types[:keep], strict=True)], names[:keep])
         for b in batches:
             for i in range(b.num_rows):
-                rows = []
+                rows, size = [], 0
                 for r in parse_archive(b.column(0)[i].as_py()):
                     rows.append(parse_record(r)[:keep])
-                    if len(rows) >= 1000:
+                    size += len(r)
+                    if len(rows) >= 1000 or size >= 4 << 20:
                         yield make(rows)
-                        rows = []
+                        rows, size = [], 0
                 if rows:
                     yield make(rows)
 

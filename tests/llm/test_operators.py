@@ -57,12 +57,28 @@ def test_warc_repeated_rows_and_empty_table(spark):
     assert archived(spark, []).count() == 0
 
 
-def test_warc_dictionary_is_embedded_and_frames_stand_alone():
+@pytest.mark.parametrize(("per_archive", "row_bytes", "sample_bytes"), [(10_000, 1, 1 << 14), (3, 2_000, 1 << 14), (1, 1, 1), (2, 1 << 20, 1 << 10)])
+def test_warc_dictionary_is_embedded_and_frames_stand_alone(per_archive, row_bytes, sample_bytes):
     records = [f"WARC/1.1 {i} {prose(i, 30)}".encode() for i in range(200)]
-    parts = list(warc.frames(iter(records), 1 << 20, 1 << 14, 1 << 12, 3))
-    assert parts[0][:4] == b"\x5d\x2a\x4d\x18"
-    assert list(warc.parse_archive(warc.SEPARATOR.encode().join(parts))) == records
-    assert list(warc.parse_archive(b"".join([parts[0], parts[-1]]))) == records[-1:]
+    rows = list(warc.archive_rows(iter(records), per_archive, row_bytes, sample_bytes, 1 << 12, 3))
+    archives = [warc.SEPARATOR.encode().join(rows[k : k + per_archive]) for k in range(0, len(rows), per_archive)]
+    assert [r for a in archives for r in warc.parse_archive(a)] == records
+    for a in archives:
+        assert a[:4] == b"\x5d\x2a\x4d\x18" and a.count(b"\x5d\x2a\x4d\x18") == 1
+    if row_bytes == 1 and per_archive > 1:  # a record each: the last alone with the dictionary
+        size = 8 + int.from_bytes(rows[0][4:8], "little")
+        assert list(warc.parse_archive(rows[0][:size] + rows[-1])) == records[-1:]
+    assert list(warc.archive_rows(iter([]), 2, 1, 1, 1 << 12, 3)) == []
+
+
+def test_warc_files_are_rolled(spark):
+    path = common.new_folder(spark, "test-warc")
+    rows = [(i, "u", prose(i, 200)) for i in range(300)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    warc.write_archives(warc.plan_records(pages).coalesce(1), path, archive_bytes=40_000, row_bytes=10_000, sample_bytes=20_000)
+    files = [bytes(r.content) for r in spark.read.format("binaryFile").load(path).select("content").collect()]
+    assert len(files) > 3 and all(len(f) < 80_000 and f[:4] == b"\x5d\x2a\x4d\x18" for f in files)
+    assert {r.page_id: bytes(r.payload).decode() for r in warc.read_archives(spark, path).collect()} == {i: t for i, _, t in rows}
 
 
 # ---- audio ----

@@ -12,6 +12,8 @@ from pathlib import Path
 from pyspark.sql import SparkSession
 
 _shipped: set[str] = set()
+#: Folders that this process has named in the shared one.
+folders: list[str] = []
 
 
 def ship(spark: SparkSession) -> None:
@@ -45,4 +47,5 @@ def shared_dir(spark: SparkSession) -> str:
 
 def new_folder(spark: SparkSession, name: str) -> str:
     """A name for a new folder in the shared one."""
-    return f"{shared_dir(spark)}/rowlens/{name}-{uuid.uuid4().hex}"
+    folders.append(f"{shared_dir(spark)}/rowlens/{name}-{uuid.uuid4().hex}")
+    return folders[-1]

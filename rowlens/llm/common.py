@@ -10,6 +10,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import session
 from ..session import new_folder, shared_dir
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -27,6 +28,34 @@ def clear(spark: SparkSession) -> None:
     drop_folder(spark, f"{shared_dir(spark)}/rowlens")
 
 
+def drop_written(df: DataFrame) -> None:
+    """Delete the table that ``written`` made, once nothing reads it any more."""
+    files = df.inputFiles()
+    if files:
+        drop_folder(df.sparkSession, files[0].rsplit("/", 1)[0])
+
+
+class temporary:
+    """What is written to the shared folder within this block goes at its end, but for tables that ``keep`` wrote."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.kept = spark, set()
+
+    def __enter__(self) -> temporary:
+        self.before = set(session.folders)
+        return self
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        out = written(df, name)
+        self.kept.add(session.folders[-1])
+        return out
+
+    def __exit__(self, *_):
+        for path in set(session.folders) - self.before - self.kept:
+            drop_folder(self.spark, path)
+            session.folders.remove(path)
+
+
 class freed_shuffles:
     """Within this block, a finished write gives its shuffle files back at once."""
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import drop_written, written
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -25,6 +25,7 @@ def components(edges: DataFrame) -> DataFrame:
         least = labels.select("node", "label").join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "near").alias("to"))
         jump = labels.select(F.col("node").alias("to"), F.col("label").alias("far"))
         after = least.join(jump, "to", "left").select("node", F.least("to", "far").alias("label"), (F.least("to", "far") < F.col("was")).alias("moved"))
-        labels = written(after, "labels")
+        before, labels = labels, written(after, "labels")
+        drop_written(before)
         if not labels.filter("moved").limit(1).count():
             return labels.select("node", "label")

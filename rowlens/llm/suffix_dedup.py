@@ -31,7 +31,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import drop_folder, give_back, map_arrow, utf8, written
+from .common import drop_written, give_back, map_arrow, utf8, written
 
 LENGTH, GRAM = 100, 32
 SPAN = LENGTH - GRAM + 1
@@ -283,15 +283,13 @@ def row_key(data: Column) -> Column:
 
 def repeated_starts(rows: DataFrame) -> DataFrame:
     """doc_id, rid, start, n: all window starts that repeat an earlier window, as runs (rows: doc_id, rid, data)."""
-    spark = rows.sparkSession
-    drop = lambda df: drop_folder(spark, df.inputFiles()[0].rsplit("/", 1)[0]) if df.inputFiles() else None
     parsed = written(parse(rows), "parse")
     place = F.struct("doc_id", "rid", "start")
     dictionary = parsed.groupBy("phrase").agg(F.min_by(F.struct("doc_id", "rid", "start", "triggers"), place).alias("x")).select("phrase", "x.*", F.monotonically_increasing_id().alias("pid"))
     dictionary = written(dictionary, "dictionary")
     firsts = dictionary.select("phrase", F.struct("doc_id", "rid", "start").alias("first"))
     whole = written(parsed.select("phrase", "doc_id", "rid", "start", "n").join(firsts, "phrase").filter(place != F.col("first")).select("doc_id", "rid", "start", "n"), "repeated-phrases")
-    drop(parsed)
+    drop_written(parsed)
 
     places = explode_triggers(dictionary)
     shared = written(places.groupBy("h").agg(F.count(F.lit(1)).alias("places")).filter("places > 1"), "shared-triggers")
@@ -299,7 +297,7 @@ def repeated_starts(rows: DataFrame) -> DataFrame:
     salts = F.ceil(F.col("places") / GROUP).cast("int")
     start = F.col("from") + F.shiftright("place", 7)
     suspects = written(suspects.select("doc_id", "rid", start.alias("start"), F.col("place").bitwiseAND(F.lit(127)).alias("n"), "h", F.pmod(F.xxhash64("pid", "place"), salts).cast("int").alias("salt"), (F.col("places") > GROUP).alias("salted")), "suspects")
-    drop(dictionary)
+    drop_written(dictionary)
 
     by_row = suspects.groupBy("doc_id", "rid").agg(F.collect_list(F.struct("start", "n", "h", "salt", "salted")).alias("suspects"))
     dealt = stretches(rows.join(by_row, ["doc_id", "rid"])).repartition("h", "salt").sortWithinPartitions("h", "salt")

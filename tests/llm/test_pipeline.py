@@ -5,7 +5,10 @@ import numpy as np
 import pytest
 from samples import DOCS, document, prose
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
+from rowlens import session
 from rowlens.llm import bpe, queries
 
 
@@ -45,7 +48,10 @@ def test_whole_pipeline(spark, folder):
     for i, t in docs:
         ids = bpe.encoder().encode(t)
         want[i] = (len(ids) // 4, brute.sha(ids), brute.sha(t.encode()))
+    before = set(session.folders)
     out = {r.doc_id: tuple(r)[1:] for r in corpus_pipeline.run(spark, d).collect()}
+    left = [x for x in set(session.folders) - before if spark.read.format("binaryFile").load(x.rsplit("/", 1)[0] + "/*").filter(F.col("path").contains(x.rsplit("/", 1)[1])).count()]
+    assert len(left) == 1  # the result
     assert out == want
     assert 1000 in out and 1001 in out and 0 < len(out) < 200
 
@@ -64,5 +70,19 @@ def test_stages_keep_columns_and_rows(spark, folder):
     assert np.all([c in corpus_pipeline.token_ids(spark, docs, d).columns for c in ("doc_id", "n_tokens")])
 
 
+def test_whole_pipeline_of_odd_rows(spark, tmp_path):
+    """A very long text and copies of it, rows without an id, and empty tables beside them."""
+    d = f"file://{tmp_path}"
+    long = prose(7, 60_000)
+    rows = [(1, long, "en", "s", len(long)), (2, long, "en", "s", len(long)), (3, prose(8, 9), "en", "s", 0), *[(None, f"{prose(9, 40)} own{i} {prose(100 + i, 40)}", None, None, None) for i in range(60)], (None, None, None, None, None)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").repartition(3).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
+    out = corpus_pipeline.run(spark, d).collect()
+    assert sorted((r.doc_id is None, r.doc_id) for r in out if r.doc_id) == [(False, 1), (False, 3)]
+    assert sum(r.doc_id is None for r in out) == 61
+    assert next(r for r in out if r.doc_id == 1).decoded_sha256 == brute.sha(long.encode())
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))

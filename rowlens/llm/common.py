@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import session
 from ..session import new_folder, shared_dir
 
-_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_WRITES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:
@@ -57,20 +57,22 @@ class temporary:
 
 
 class freed_shuffles:
-    """Within this block, a finished write gives its shuffle files back at once."""
+    """Within this block, a finished write gives its shuffle files back at once, and Python gets rows in small batches."""
 
     def __init__(self, spark: SparkSession):
         self.spark = spark
 
     def __enter__(self):
-        self.before = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")
+        self.before = {k: self.spark.conf.get(k, None) for k in _WRITES}
+        for k, v in _WRITES.items():
+            self.spark.conf.set(k, v)
 
     def __exit__(self, *_):
-        if self.before is None:
-            self.spark.conf.unset(_CLEANUP)
-        else:
-            self.spark.conf.set(_CLEANUP, self.before)
+        for k, v in self.before.items():
+            if v is None:
+                self.spark.conf.unset(k)
+            else:
+                self.spark.conf.set(k, v)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

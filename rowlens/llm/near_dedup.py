@@ -42,7 +42,7 @@ MISSED = 1e-5
 #: Rows of a block of sketches; members checked against one copy of a set.
 BLOCK, STAR = 1024, 256
 #: Bytes of the full sets in a block.
-BLOCK_BYTES = 8 << 20
+BLOCK_BYTES = 4 << 20
 
 
 @functools.cache

@@ -40,7 +40,7 @@ T, ROWS = 128, 4
 #: The chance that a pair on the threshold shares no band, and that its sketches agree in too few coordinates, stays below this.
 MISSED = 1e-5
 #: Rows of a block of sketches; members checked against one copy of a set.
-BLOCK, STAR = 1024, 256
+BLOCK, STAR = 512, 256
 #: Bytes of the full sets in a block.
 BLOCK_BYTES = 4 << 20
 

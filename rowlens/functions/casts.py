@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Shapes of a date; the calendar is not checked.
+#: Shapes of a date; the calendar is not checked.
 DATE_SHAPE = r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{4}/\d{2}/\d{2}|\d{2}-\d{2}-\d{4})$"
-#: Texts that count as numbers; Spark's own cast would also take '1d' or '0x1p3'.
+#: Fixed value: texts that count as numbers; Spark's own cast would also take '1d' or '0x1p3'.
 NUMBER_SHAPE = r"^\s*[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|inf|infinity|nan)\s*$"
 
 
@@ -35,9 +37,33 @@ def safe_cast(c: Column, type_name: str) -> Column:
     return c.try_cast(type_name)
 
 
+def shape_of_format(pattern: str) -> str | None:
+    """A regular expression for all texts that a date format of digits reads; None for one with other letters."""
+    out = ""
+    for run in re.findall(r"([a-zA-Z])(\1*)|([^a-zA-Z])", pattern):
+        letter, more, other = run
+        if other:
+            if other in "'[]#{}":
+                return None
+            out += re.escape(other)
+        elif letter in "yMdHhmsS" and (letter != "M" or len(more) < 2):
+            n = 1 + len(more)
+            out += r"\d+" if n == 1 else rf"[+-]?\d{{{n},}}" if letter == "y" and n > 2 else rf"\d{{{n}}}"
+        else:
+            return None
+    return f"^{out}$"
+
+
 def parse_date(c: Column, formats: tuple[str, ...]) -> Column:
-    """The time that the first fitting format reads, or null."""
-    return F.coalesce(*[F.try_to_timestamp(c, F.lit(f)) for f in formats]).cast("timestamp_ntz")
+    """The time that the first fitting format reads, or null.
+
+    A parser that fails is slow, so a format is tried only where the text has its shape.
+    """
+    tries = []
+    for f in formats:
+        shape, parsed = shape_of_format(f), F.try_to_timestamp(c, F.lit(f))
+        tries.append(parsed if shape is None else F.when(c.rlike(shape), parsed))
+    return F.coalesce(*tries).cast("timestamp_ntz")
 
 
 def normalize_date(c: Column, formats: tuple[str, ...], output: str = "yyyy-MM-dd", invalid: str = "ERROR") -> Column:

@@ -29,6 +29,13 @@ def as_text(c: Column, kind: T.DataType) -> Column:
     return c if isinstance(kind, TEXT) else c.cast("string")
 
 
+def sql_text(name: str, kind: T.DataType, nan_is_null: bool = False) -> str:
+    """``as_text`` of a column as SQL; NaN may count as null."""
+    nested = isinstance(kind, (T.ArrayType, T.MapType, T.StructType))
+    text = f"to_json({name})" if nested else name if isinstance(kind, TEXT) else f"CAST({name} AS STRING)"
+    return f"CASE WHEN NOT isnan({name}) THEN {text} END" if nan_is_null and isinstance(kind, FLOATING) else text
+
+
 def as_number(c: Column, kind: T.DataType) -> Column:
     return c.cast("int").cast("double") if isinstance(kind, T.BooleanType) else c.cast("double")
 
@@ -50,10 +57,10 @@ def text_equal(a: Column, b: Column, options: CompareOptions) -> Column:
 
 
 def numbers_equal(a: Column, b: Column, options: CompareOptions) -> Column:
-    """Within the tolerance relative to the second value; infinities only by themselves."""
-    inf = float("inf")
-    infinite = (F.abs(a) == inf) | (F.abs(b) == inf)
-    return F.when(infinite, F.lit(options.inf_equality) & (a == b)).otherwise(F.abs(a - b) <= F.lit(options.float_tolerance) * F.abs(b))
+    """Within the tolerance relative to the second value; infinities only by themselves; null beside a null."""
+    size = F.abs(b)  # an infinite first value is never within the tolerance of a finite one
+    same = (a == b) if options.inf_equality else (a == b) & F.lit(False)
+    return F.when(size == float("inf"), same).otherwise(F.abs(a - b) <= size * options.float_tolerance)
 
 
 def times_equal(a: Column, b: Column, precision: str) -> Column:
@@ -77,32 +84,37 @@ def values_equal(a: Column, b: Column, kind_a: T.DataType, kind_b: T.DataType, o
     a, b = without_nan(a, kind_a), without_nan(b, kind_b)
     is_a = lambda *kinds: isinstance(kind_a, kinds)
     is_b = lambda *kinds: isinstance(kind_b, kinds)
-    as_texts = text_equal(as_text(a, kind_a), as_text(b, kind_b), o)
+    as_texts = lambda: text_equal(as_text(a, kind_a), as_text(b, kind_b), o)
+    never = False
     if is_a(T.NullType) or is_b(T.NullType):
-        equal = F.lit(False)
+        never = True
     elif o.exact_match_only:
         if is_a(*NUMERIC) and is_b(*NUMERIC):
             equal = (a == b) if type(kind_a) is type(kind_b) else as_number(a, kind_a) == as_number(b, kind_b)
         elif is_a(*TEMPORAL) and is_b(*TEMPORAL):
             equal = as_time(a, kind_a) == as_time(b, kind_b)
         else:
-            equal = as_text(a, kind_a) == as_text(b, kind_b) if type(kind_a) is type(kind_b) else F.lit(False)
+            never = type(kind_a) is not type(kind_b)
+            equal = as_text(a, kind_a) == as_text(b, kind_b)
     elif is_a(*NUMERIC) and is_b(*NUMERIC):
         whole = (*INTEGRAL, T.BooleanType) if o.exact_integers else (T.BooleanType,)
         equal = as_number(a, kind_a) == as_number(b, kind_b) if is_a(T.BooleanType) or is_b(T.BooleanType) else a == b if is_a(*whole) and is_b(*whole) else numbers_equal(as_number(a, kind_a), as_number(b, kind_b), o)
     elif is_a(*NUMERIC) or is_b(*NUMERIC):
-        equal = as_texts if o.ignore_string_type_mismatch else F.lit(False)
+        never = not o.ignore_string_type_mismatch
+        equal = as_texts()
     elif (is_a(*TEMPORAL) and is_b(*TEMPORAL, *TEXT)) or (is_b(*TEMPORAL) and is_a(*TEXT)):
         x, y = as_time(a, kind_a), as_time(b, kind_b)
         equal = times_equal(x, y, o.date_precision)
         if not (is_a(*TEMPORAL) and is_b(*TEMPORAL)):
-            equal = F.when(x.isNull() | y.isNull(), as_texts).otherwise(equal)
+            equal = F.when(x.isNull() | y.isNull(), as_texts()).otherwise(equal)
     elif is_a(*TEXT) or is_b(*TEXT):
-        equal = as_texts
+        equal = as_texts()
     else:
         equal = as_text(a, kind_a) == as_text(b, kind_b)
-    both, one = a.isNull() & b.isNull(), a.isNull() | b.isNull()
-    return F.when(both, F.lit(o.null_equality)).when(one, F.lit(False)).otherwise(F.coalesce(equal, F.lit(False)))
+    if never:
+        return a.isNull() & b.isNull() if o.null_equality else F.lit(False)
+    # beside a null every rule gives null, or false; what is null for other reasons is unequal
+    return F.coalesce(equal, a.isNull() & b.isNull() if o.null_equality else F.lit(False))
 
 
 def percentage_difference(a: Column, b: Column) -> Column:
@@ -116,22 +128,31 @@ def seconds_between(a: Column, b: Column) -> Column:
     return (micros(a) - micros(b)) / F.lit(1e6)
 
 
+def measures(a: Column, b: Column, kind_a: T.DataType, kind_b: T.DataType) -> dict[str, Column]:
+    """What two types allow to be measured: absolute and percentage difference, edit distance, or seconds."""
+    a, b = without_nan(a, kind_a), without_nan(b, kind_b)
+    both = lambda *kinds: isinstance(kind_a, kinds) and isinstance(kind_b, kinds)
+    if both(*NUMERIC):
+        x, y = as_number(a, kind_a), as_number(b, kind_b)
+        return {"absolute_difference": F.abs(x - y), "percentage_difference": percentage_difference(x, y)}
+    if both(*TEMPORAL):
+        return {"time_difference_seconds": seconds_between(as_time(a, kind_a), as_time(b, kind_b))}
+    return {"levenshtein_distance": F.levenshtein(a, b).cast("int")} if both(*TEXT) else {}
+
+
 def difference_details(a: Column, b: Column, kind_a: T.DataType, kind_b: T.DataType) -> dict[str, Column]:
     """message, types, and what the types allow: absolute, percentage, edit distance, seconds."""
-    a, b = without_nan(a, kind_a), without_nan(b, kind_b)
-    number = isinstance(kind_a, NUMERIC) and isinstance(kind_b, NUMERIC)
-    time = isinstance(kind_a, TEMPORAL) and isinstance(kind_b, TEMPORAL)
-    text = isinstance(kind_a, TEXT) and isinstance(kind_b, TEXT)
-    x, y = (as_number(a, kind_a), as_number(b, kind_b)) if number else (F.lit(None).cast("double"),) * 2
+    null = F.lit(None).cast("double")
+    x, y = without_nan(a, kind_a), without_nan(b, kind_b)
     return {
-        "message": F.when(a.isNull() != b.isNull(), "one side is null").otherwise("values differ"),
+        "message": F.when(x.isNull() != y.isNull(), "one side is null").otherwise("values differ"),
         "type1": F.lit(kind_a.simpleString()),
         "type2": F.lit(kind_b.simpleString()),
-        "absolute_difference": F.abs(x - y),
-        "percentage_difference": percentage_difference(x, y),
-        "levenshtein_distance": (F.levenshtein(a, b) if text else F.lit(None)).cast("int"),
-        "time_difference_seconds": seconds_between(as_time(a, kind_a), as_time(b, kind_b)) if time else F.lit(None).cast("double"),
-    }
+        "absolute_difference": null,
+        "percentage_difference": null,
+        "levenshtein_distance": F.lit(None).cast("int"),
+        "time_difference_seconds": null,
+    } | measures(a, b, kind_a, kind_b)
 
 
 def comparison_info(a: Column, b: Column, kind_a: T.DataType, kind_b: T.DataType, options: CompareOptions | None = None) -> dict[str, Column]:

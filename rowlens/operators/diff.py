@@ -1,8 +1,8 @@
 """The difference of two tables by key: missing, added and changed cells.
 
-Both sides meet in one full outer join on the key; every row then yields an
-array of its differing cells, which is exploded. Nothing but the key is
-shuffled twice, and a table is scanned once.
+Both sides meet in one full outer join on the key. Rows in which nothing differs
+leave at once; the others yield the numbers of their differing cells, which are
+exploded, and only then is a cell spelled out. A table is scanned once.
 """
 
 from __future__ import annotations
@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..errors import ComparisonError
-from ..functions.equality import as_text, difference_details, values_equal, without_nan
+from ..functions.equality import FLOATING, measures, sql_text, values_equal
 from ..options import CompareOptions
 
 MISSING, ADDED, CHANGED = "missing", "added", "changed"
@@ -47,10 +47,8 @@ def duplicate_keys(df: DataFrame, key: str | list[str]) -> DataFrame:
 
 def with_keys(df: DataFrame, keys: list[str]) -> DataFrame:
     """Rows whose whole key is there; NaN is no key."""
-    ok = F.lit(True)
-    for k in keys:
-        ok &= without_nan(F.col(f"`{k}`"), df.schema[k].dataType).isNotNull()
-    return df.filter(ok)
+    tests = [f"`{k}` IS NOT NULL" + (f" AND NOT isnan(`{k}`)" if isinstance(df.schema[k].dataType, FLOATING) else "") for k in keys]
+    return df.filter(" AND ".join(tests))
 
 
 @dataclass
@@ -73,14 +71,16 @@ def prepare(t1: DataFrame, t2: DataFrame, key, mapping: dict[str, str] | None, o
     """Both tables without ignored columns and with aliases applied, the keys and the mapping."""
     keys = key_list(key)
     aliases, ignored = options.column_aliases, set(options.ignore_columns) - set(keys)
-    t1, t2 = (df.withColumnsRenamed({a: b for a, b in aliases.items() if a in df.columns}) for df in (t1, t2))
+    if aliases:
+        t1, t2 = (df.withColumnsRenamed({a: b for a, b in aliases.items() if a in df.columns}) for df in (t1, t2))
     mapping = dict(mapping) if mapping is not None else default_mapping(t1, t2)
     for k in keys:
         mapping.setdefault(k, k)
     hidden = {mapping.get(c, c) for c in ignored} | (ignored - set(mapping.values()))
     mapping = {a: b for a, b in mapping.items() if a not in ignored}
-    t1 = t1.drop(*ignored)
-    t2 = t2.drop(*[c for c in hidden if c not in {mapping[k] for k in keys}])
+    if ignored:
+        t1 = t1.drop(*ignored)
+        t2 = t2.drop(*[c for c in hidden if c not in {mapping[k] for k in keys}])
     check_inputs(t1, t2, keys, mapping)
     return t1, t2, keys, mapping
 
@@ -89,7 +89,7 @@ def side(df: DataFrame, keys: list[str], letter: str, unique: str) -> tuple[Data
     """One side of the join under its own names; a duplicate key raises if it is to be found lazily."""
     rest = [c for c in df.columns if c not in keys]
     names = {c: (f"{letter}{i}", df.schema[c].dataType) for i, c in enumerate(rest)}
-    out = with_keys(df, keys).select(*[F.col(f"`{k}`").alias(f"k{i}") for i, k in enumerate(keys)], *[F.col(f"`{c}`").alias(n) for c, (n, _) in names.items()], F.lit(True).alias(f"in_{letter}"))
+    out = with_keys(df, keys).selectExpr(*[f"`{k}` AS k{i}" for i, k in enumerate(keys)], *[f"`{c}` AS {n}" for c, (n, _) in names.items()], f"true AS in_{letter}")
     if unique == "lazy":  # by the join's own partitioning: no shuffle more
         n = F.count(F.lit(1)).over(W.partitionBy(*[f"k{i}" for i in range(len(keys))]))
         out = out.withColumn(f"in_{letter}", F.when(n > 1, F.raise_error(F.lit("duplicate primary key")).cast("boolean")).otherwise(F.lit(True)))
@@ -111,12 +111,6 @@ def join(t1: DataFrame, t2: DataFrame, key, mapping: dict[str, str] | None = Non
     return Joined(df, keys, l_names, r_names, mapping, o)
 
 
-def _cell(field: str, v1: Column, v2: Column, what: str, details: dict[str, Column]) -> Column:
-    null = {"message": F.lit(None).cast("string"), "type1": F.lit(None).cast("string"), "type2": F.lit(None).cast("string"), "absolute_difference": F.lit(None).cast("double"), "percentage_difference": F.lit(None).cast("double"), "levenshtein_distance": F.lit(None).cast("int"), "time_difference_seconds": F.lit(None).cast("double")}
-    values = {"field_name": F.lit(field), "table1_value": v1, "table2_value": v2, "difference_type": F.lit(what)} | null | details
-    return F.struct(*[values[c].alias(c) for c in DIFFERENCE_COLUMNS])
-
-
 def row_status(j: Joined) -> Column:
     return F.when(F.col("in_r").isNull(), MISSING).when(F.col("in_l").isNull(), ADDED).otherwise("common")
 
@@ -134,27 +128,65 @@ def equal_columns(j: Joined) -> dict[str, Column]:
     return out
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+
+def _by_number(cases: dict[int, str], kind: str) -> Column:
+    """The value of the cell whose number is ``i``, from SQL texts; equal ones share a branch."""
+    numbers: dict[str, list[str]] = {}
+    for i, c in cases.items():
+        numbers.setdefault(c, []).append(str(i))
+    branches = " ".join(f"WHEN i IN ({', '.join(n)}) THEN {c}" for c, n in numbers.items())
+    return F.expr(f"CAST({f'CASE {branches} END' if branches else 'NULL'} AS {kind})")
+
+
 def cells(j: Joined, kinds: tuple[str, ...] = (MISSING, ADDED, CHANGED)) -> DataFrame:
     """A row for each differing cell: the key's columns, then DIFFERENCE_COLUMNS.
 
     A missing or added row gives one for each of its columns that is no key, with
     that table's name; a key-only table gives none.
+
+    Cells are numbered: first those of missing rows, then of added, then of
+    changed ones. What is alike in all of them is written as SQL text, as each
+    Column call from Python takes its time.
     """
-    null = F.lit(None).cast("string")
-    side_of = lambda names, what: [_cell(c, *((as_text(F.col(n), k), null) if what == MISSING else (null, as_text(F.col(n), k))), what, {"message": F.lit("exists only in table 1" if what == MISSING else "exists only in table 2"), "type1" if what == MISSING else "type2": F.lit(k.simpleString())}) for c, (n, k) in names.items()]
-    changed = []
-    for c, equal in equal_columns(j).items():
-        (n1, k1), (n2, k2) = j.left[c], j.right[j.mapping[c]]
-        a, b = F.col(n1), F.col(n2)
-        cell = _cell(c, as_text(without_nan(a, k1), k1), as_text(without_nan(b, k2), k2), CHANGED, difference_details(a, b, k1, k2))
-        changed.append(F.when(~equal, cell))
-    none = F.array().cast(T.ArrayType(T.StructType([T.StructField(c, T.DoubleType() if c in ("absolute_difference", "percentage_difference", "time_difference_seconds") else T.IntegerType() if c == "levenshtein_distance" else T.StringType()) for c in DIFFERENCE_COLUMNS])))
-    make = lambda made: F.array(*made) if made else none
-    parts = {MISSING: make(side_of(j.left, MISSING)), ADDED: make(side_of(j.right, ADDED)), CHANGED: F.filter(make(changed), lambda x: x.isNotNull())}
-    status = row_status(j)
-    picked = F.when(status == MISSING, parts[MISSING] if MISSING in kinds else none).when(status == ADDED, parts[ADDED] if ADDED in kinds else none).otherwise(parts[CHANGED] if CHANGED in kinds else none)
-    keys = [F.col(f"k{i}").alias(k) for i, k in enumerate(j.key)]
-    return j.df.select(*keys, F.explode_outer(picked).alias("cell")).filter("cell IS NOT NULL").select(*[f"`{k}`" for k in j.key], "cell.*")
+    left = list(j.left.items()) if MISSING in kinds else []
+    right = list(j.right.items()) if ADDED in kinds else []
+    equal = equal_columns(j) if CHANGED in kinds else {}
+    n_missing, n_gone = len(left), len(left) + len(right)
+    common = [(c, j.left[c], j.right[j.mapping[c]]) for c in equal]
+    first = {i: sql_text(n, k) for i, (_, (n, k)) in enumerate(left)} | {n_gone + i: sql_text(n, k, True) for i, (_, (n, k), _) in enumerate(common)}
+    second = {n_missing + i: sql_text(n, k) for i, (_, (n, k)) in enumerate(right)} | {n_gone + i: sql_text(n, k, True) for i, (_, _, (n, k)) in enumerate(common)}
+    names = [c for c, _ in left + right] + list(equal)
+    type1 = {i: _quoted(k.simpleString()) for i, (_, (_, k)) in enumerate(left)} | {n_gone + i: _quoted(k.simpleString()) for i, (_, (_, k), _) in enumerate(common)}
+    type2 = {n_missing + i: _quoted(k.simpleString()) for i, (_, (_, k)) in enumerate(right)} | {n_gone + i: _quoted(k.simpleString()) for i, (_, _, (_, k)) in enumerate(common)}
+
+    rows = j.df.select("*", *[(~same).alias(f"d{i}") for i, same in enumerate(equal.values())])
+    numbers = lambda lo, hi: f"array({', '.join(map(str, range(lo, hi)))})"
+    differing = ", ".join(f"CASE WHEN d{i} THEN {n_gone + i} END" for i in range(len(equal)))
+    some = " OR ".join(["false", *(["in_r IS NULL"] if left else []), *(["in_l IS NULL"] if right else []), *(f"(in_l AND in_r AND d{i})" for i in range(len(equal)))])
+    picked = f"CASE WHEN in_r IS NULL THEN {numbers(0, n_missing)} WHEN in_l IS NULL THEN {numbers(n_missing, n_gone)} ELSE filter(array({differing}), x -> x IS NOT NULL) END"
+    rows = rows.filter(some).select("*", F.explode_outer(F.expr(f"CAST({picked} AS array<int>)")).alias("i")).filter("i IS NOT NULL")
+
+    details: dict[str, Column] = {}
+    for i, (_, (n1, k1), (n2, k2)) in enumerate(common):
+        for c, value in measures(F.col(n1), F.col(n2), k1, k2).items():
+            here = F.col("i") == n_gone + i
+            details[c] = details[c].when(here, value) if c in details else F.when(here, value)
+    kind_of = {"levenshtein_distance": "int", "absolute_difference": "double", "percentage_difference": "double", "time_difference_seconds": "double"}
+    values = {
+        "field_name": _by_number({i: _quoted(c) for i, c in enumerate(names)}, "string"),
+        "table1_value": _by_number(first, "string"),
+        "table2_value": _by_number(second, "string"),
+        "difference_type": F.expr(f"CASE WHEN i < {n_missing} THEN '{MISSING}' WHEN i < {n_gone} THEN '{ADDED}' ELSE '{CHANGED}' END"),
+        "type1": _by_number(type1, "string"),
+        "type2": _by_number(type2, "string"),
+    } | {c: details.get(c, F.lit(None)).cast(k) for c, k in kind_of.items()}
+    null = " ".join(f"WHEN {i} THEN ({first[i]} IS NULL) <> ({second[i]} IS NULL)" for i in range(n_gone, n_gone + len(common)))
+    changed = f"CASE WHEN CASE i {null} END THEN 'one side is null' ELSE 'values differ' END" if common else "NULL"
+    values["message"] = F.expr(f"CASE WHEN i < {n_missing} THEN 'exists only in table 1' WHEN i < {n_gone} THEN 'exists only in table 2' ELSE {changed} END")
+    return rows.select(*[F.col(f"k{i}").alias(k) for i, k in enumerate(j.key)], *[values[c].alias(c) for c in DIFFERENCE_COLUMNS])
 
 
 def diff(t1: DataFrame, t2: DataFrame, key, mapping: dict[str, str] | None = None, options: CompareOptions | None = None) -> DataFrame:
@@ -179,8 +211,14 @@ def added(t1: DataFrame, t2: DataFrame, key, mapping=None, options: CompareOptio
 
 
 def changed(t1: DataFrame, t2: DataFrame, key, mapping=None, options: CompareOptions | None = None) -> DataFrame:
-    """Differing cells of the rows that both tables have: an inner join."""
-    return cells(join(t1, t2, key, mapping, options, "inner"), (CHANGED,))
+    """Differing cells of the rows that both tables have: an inner join.
+
+    Sides of like size are shuffled, so that every core compares cells; a side
+    that is far smaller may be broadcast if Spark finds it small enough.
+    """
+    sizes = sorted(int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) for df in (t1, t2))
+    alike = sizes[1] < 10 * sizes[0]
+    return cells(join(t1.hint("merge") if alike else t1, t2, key, mapping, options, "inner"), (CHANGED,))
 
 
 def row_differences(j: Joined) -> DataFrame:

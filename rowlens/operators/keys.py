@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .diff import key_list, with_keys
 
 
@@ -32,19 +33,24 @@ def validate_primary_key(df: DataFrame, key) -> DataFrame:
     return out.withColumn("is_valid", (F.col("null_keys") == 0) & (F.col("duplicate_rows") == 0))
 
 
-def numbered(df: DataFrame, order: list[str]) -> DataFrame:
-    """Adds ``position``, the row's place from 0 in the given order.
+def with_positions(df: DataFrame) -> DataFrame:
+    """Adds ``position``, the row's place from 0, to rows that are in order from partition to partition.
 
-    Rows are sorted by range; each partition counts by itself and starts at the
-    sum of those before it. Only one row a partition meets the others. The sorted
-    rows are cached (spilling to disk): range bounds are sampled, so counting and
-    numbering must see the same partitions.
+    Each partition counts by itself and starts at the sum of those before it; only
+    one row a partition meets the others. The rows are written first: bounds of a
+    sort are sampled, so counting and numbering must see the same partitions, also
+    after the loss of an executor.
     """
-    ranged = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("p", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id()).persist()
-    sizes = ranged.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first"))
+    own = stored(df.withColumn("p", F.spark_partition_id()).withColumn("m", F.monotonically_increasing_id()), "positions")
+    sizes = own.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("m").alias("first"))
     before = F.coalesce(F.sum("n").over(W.orderBy("p").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     starts = sizes.withColumn("before", before).drop("n")
-    return ranged.join(F.broadcast(starts), "p").withColumn("position", F.col("m") - F.col("first") + F.col("before")).drop("p", "m", "first", "before")
+    return own.join(F.broadcast(starts), "p").withColumn("position", F.col("m") - F.col("first") + F.col("before")).drop("p", "m", "first", "before")
+
+
+def numbered(df: DataFrame, order: list[str]) -> DataFrame:
+    """Adds ``position``, the row's place from 0 in the given order."""
+    return with_positions(df.repartitionByRange(*order).sortWithinPartitions(*order))
 
 
 def chunk_assignment(df: DataFrame, key, chunk_size: int = 10_000) -> DataFrame:

@@ -2,23 +2,20 @@
 
 from __future__ import annotations
 
-import csv
-import os
-import tempfile
 from collections.abc import Callable
 from functools import reduce
 from itertools import combinations
 
+from pyspark.errors import PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .errors import ComparisonError
 from .functions import casts, equality, text
 from .operators import diff, keys, match, normalize, profile, summary
-from .options import CompareOptions, NormalizeOptions, ReadOptions
+from .options import CompareOptions, NormalizeOptions
 from .plans.compare import compare_tables
-from .session import new_folder
-from .sources import encoding, files, xlsx
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -133,6 +130,48 @@ def diff_chunked_equiv(spark, d):
     return shown(diff.diff(*orders_pair(spark, d), "o_orderkey", None, PLAIN.with_changes(chunk_size=100, unique_keys="lazy")))
 
 
+@query(ALL_ORDERS)
+def diff_default_keys(spark, d):
+    """With the default options: duplicate keys of both tables are looked for first."""
+    return shown(diff.diff(*orders_pair(spark, d), "o_orderkey"))
+
+
+@query("SELECT 'orders' AS name, count(*) > 0 AS refused FROM (SELECT 1 FROM orders GROUP BY o_orderkey HAVING count(*) > 1) x UNION ALL SELECT 'lineitem', count(*) > 0 FROM (SELECT 1 FROM lineitem GROUP BY l_orderkey, l_linenumber HAVING count(*) > 1) x")
+def diff_duplicate_keys_refused(spark, d):
+    """Tables compared with themselves: a key that occurs twice is an error, at once or when the job runs."""
+    out = []
+    for name, key in (("orders", ["o_orderkey"]), ("lineitem", ["l_orderkey", "l_linenumber"])):
+        t, refused = table(spark, d, name), []
+        for mode in ("eager", "lazy"):
+            try:
+                diff.diff(t, t, key, None, CompareOptions(unique_keys=mode)).count()
+                refused.append(False)
+            except ComparisonError:
+                refused.append(True)
+            except PySparkException as e:
+                if "duplicate primary key" not in str(e):
+                    raise
+                refused.append(True)
+        if len(set(refused)) > 1:
+            raise AssertionError(f"{name}: {refused}")
+        out.append((name, refused[0]))
+    return spark.createDataFrame(out, "name string, refused boolean")
+
+
+@query(f"SELECT row_number() OVER (ORDER BY difference_type, field_name, o_orderkey) - 1 AS position, o_orderkey, field_name, difference_type FROM ({ALL_ORDERS}) x")
+def diff_ordered(spark, d):
+    """Differences in their order, each with its place in it."""
+    found = diff.ordered(orders_differences(spark, d), "o_orderkey")
+    return keys.with_positions(found.select("o_orderkey", "field_name", "difference_type")).select("position", "o_orderkey", "field_name", "difference_type")
+
+
+@query(f"WITH t1 AS (SELECT * FROM orders), t2 AS ({ORDERS2}) SELECT a.o_orderkey, 'o_totalprice' AS field_name FROM t1 a JOIN t2 b USING (o_orderkey) WHERE abs(a.o_totalprice - b.o_totalprice) >= 10000 UNION ALL SELECT a.o_orderkey, 'o_orderstatus' FROM t1 a JOIN t2 b USING (o_orderkey) WHERE a.o_orderstatus <> b.o_orderstatus")
+def diff_own_comparators(spark, d):
+    """Equality of two columns given by the caller, of the others by their types."""
+    own = {"o_totalprice": lambda a, b: F.abs(a - b) < 10_000, "o_orderstatus": lambda a, b: a == b}
+    return diff.changed(*orders_pair(spark, d), "o_orderkey", None, PLAIN.with_changes(comparators=own)).select("o_orderkey", "field_name")
+
+
 LINES1 = "SELECT l_orderkey, l_linenumber, min(l_quantity) AS l_quantity, max(l_extendedprice) AS l_extendedprice, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2"
 
 
@@ -392,7 +431,11 @@ def cardinality_ratio(spark, d):
     return profile.cardinality(table(spark, d, "customer"))
 
 
-@query("SELECT * FROM (VALUES ('event_id', 'numeric'), ('ts', 'date'), ('as_text', 'numeric'), ('day', 'date'), ('event_type', 'text'), ('nothing', 'empty')) x(column_name, kind)")
+EVENT_TEXTS = "SELECT CAST(CAST(value AS DECIMAL(20, 4)) AS VARCHAR) AS as_text, strftime(ts, '%Y-%m-%d') AS day, event_type, CAST(NULL AS VARCHAR) AS nothing FROM events"
+IS_DAY = " OR ".join(f"try_strptime({{0}}, '{f}') IS NOT NULL" for f in ("%Y-%m-%d %H:%M:%S", "%Y-%m-%d", "%d/%m/%Y", "%Y/%m/%d", "%d-%m-%Y"))
+
+
+@query("SELECT 'event_id' AS column_name, 'numeric' AS kind UNION ALL SELECT 'ts', 'date'" + "".join(f" UNION ALL SELECT '{c}', CASE WHEN count({c}) = 0 THEN 'empty' WHEN bool_and({c} IS NULL OR {IS_DAY.format(c)}) THEN 'date' WHEN bool_and({c} IS NULL OR TRY_CAST({c} AS DOUBLE) IS NOT NULL) THEN 'numeric' ELSE 'text' END FROM ({EVENT_TEXTS}) x" for c in ("as_text", "day", "event_type", "nothing")))
 def detect_column_types(spark, d):
     t = table(spark, d, "events").select("event_id", "ts", F.col("value").cast("decimal(20,4)").cast("string").alias("as_text"), F.date_format("ts", "yyyy-MM-dd").alias("day"), "event_type", F.lit(None).cast("string").alias("nothing"))
     return profile.column_kinds(t)
@@ -466,6 +509,14 @@ def is_date_string(spark, d):
     return table(spark, d, "orders").select("o_orderkey", casts.is_date_string(x).alias("is_date"))
 
 
+@query(r"SELECT o_orderkey, true AS as_time, regexp_matches(x, '^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{4}/\d{2}/\d{2}|\d{2}-\d{2}-\d{4})$') AS as_text FROM (SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN strftime(o_orderdate, '%Y/%m/%d') WHEN 1 THEN strftime(o_orderdate, '%d-%m-%Y') ELSE o_orderpriority END AS x FROM orders) t")
+def is_date_like(spark, d):
+    """Values of a time type, and texts with a date's shape."""
+    k, t = F.col("o_orderkey"), F.col("o_orderdate")
+    x = F.when(k % 3 == 0, F.date_format(t, "yyyy/MM/dd")).when(k % 3 == 1, F.date_format(t, "dd-MM-yyyy")).otherwise(F.col("o_orderpriority"))
+    return table(spark, d, "orders").select("o_orderkey", casts.is_date_like(t, "timestamp_ntz").alias("as_time"), casts.is_date_like(x, "string").alias("as_text"))
+
+
 AS_TEXT = "CASE o_orderkey % 4 WHEN 0 THEN ' ' || o_custkey || ' ' WHEN 1 THEN o_orderpriority WHEN 2 THEN o_custkey || 'd' ELSE '-1.5e3' END"
 
 
@@ -474,7 +525,7 @@ def as_text_column():
     return F.when(k % 4 == 0, F.concat(F.lit(" "), c, F.lit(" "))).when(k % 4 == 1, F.col("o_orderpriority")).when(k % 4 == 2, F.concat(c, F.lit("d"))).otherwise("-1.5e3")
 
 
-@query("SELECT o_orderkey, o_orderkey % 4 IN (0, 3) AS is_number FROM orders")
+@query(f"SELECT o_orderkey, regexp_matches(lower({AS_TEXT}), '^\\s*[+-]?((\\d+\\.?\\d*|\\.\\d+)([eE][+-]?\\d+)?|inf|infinity|nan)\\s*$') AS is_number FROM orders")
 def is_numeric_like(spark, d):
     return table(spark, d, "orders").select("o_orderkey", casts.is_numeric_like(as_text_column()).alias("is_number"))
 
@@ -519,50 +570,4 @@ def compare_tables_auto(spark, d):
     return compare_tables(t1, t2, "custkey").differences.select("custkey", "difference_type", "field_name")
 
 
-# ---- files --------------------------------------------------------------------------------------
-
-
-def _csv(spark, d, name: str, charset: str = "UTF-8") -> str:
-    """A small table as CSV in the shared folder."""
-    path = new_folder(spark, name)
-    table(spark, d, name).coalesce(1).write.option("header", True).option("encoding", charset).csv(path)
-    return path
-
-
-@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
-def csv_roundtrip(spark, d):
-    return files.read_csv(spark, _csv(spark, d, "nation"))
-
-
-@query("SELECT e.encoding, CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region, (VALUES ('utf-8'), ('utf-16'), ('utf-32'), ('iso-8859-1')) e(encoding)")
-def csv_encodings(spark, d):
-    read = lambda e: files.read_csv(spark, _csv(spark, d, "region", e.upper()), ReadOptions(encoding=e))
-    return reduce(DataFrame.unionAll, [read(e).select(F.lit(e).alias("encoding"), "r_regionkey", "r_name") for e in ("utf-8", "utf-16", "utf-32", "iso-8859-1")])
-
-
-@query("SELECT CAST(n_nationkey AS BIGINT) AS n_nationkey, n_name, CAST(n_regionkey AS BIGINT) AS n_regionkey FROM nation")
-def xlsx_read(spark, d):
-    """A workbook that the driver writes and reads by itself."""
-    t = table(spark, d, "nation")
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "nation.xlsx")
-        xlsx.write_xlsx(path, {"Sheet1": [t.columns, *[list(r) for r in t.collect()]]})  # 25 rows
-        rows = [tuple(int(x) if isinstance(x, float) else x for x in r) for r in xlsx.rows(path)][1:]
-    return spark.createDataFrame(rows, "n_nationkey long, n_name string, n_regionkey long")
-
-
-@query("SELECT CAST(r_regionkey AS BIGINT) AS r_regionkey, r_name FROM region")
-def convert_encoding(spark, d):
-    """A file that the driver converts and reads by itself."""
-    with tempfile.TemporaryDirectory() as folder:
-        path = os.path.join(folder, "region.csv")
-        table(spark, d, "region").toPandas().to_csv(path, index=False, encoding="utf-16")  # 5 rows
-        with open(encoding.convert_encoding(path, "utf-8"), encoding="utf-8", newline="") as f:
-            rows = [(int(r["r_regionkey"]), r["r_name"]) for r in csv.DictReader(f)]
-    return spark.createDataFrame(rows, "r_regionkey long, r_name string")
-
-
-@query("SELECT CAST(r_regionkey AS BIGINT) // 2 AS block, count(*) AS n FROM region GROUP BY 1")
-def read_chunks(spark, d):
-    blocks = files.chunks(files.read_csv(spark, _csv(spark, d, "region")), 2)
-    return spark.createDataFrame([(i, len(x)) for i, x in enumerate(blocks)], "block long, n long")
+from . import file_queries  # noqa: E402, F401  adds its own

@@ -9,7 +9,7 @@ import uuid
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 #: Folders that this process has named in the shared one.
@@ -49,3 +49,10 @@ def new_folder(spark: SparkSession, name: str) -> str:
     """A name for a new folder in the shared one."""
     folders.append(f"{shared_dir(spark)}/rowlens/{name}-{uuid.uuid4().hex}")
     return folders[-1]
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared folder and read again: what is read twice is the same twice."""
+    path = new_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -48,7 +48,7 @@ def shape_of_format(pattern: str) -> str | None:
             out += re.escape(other)
         elif letter in "yMdHhmsS" and (letter != "M" or len(more) < 2):
             n = 1 + len(more)
-            out += r"\d+" if n == 1 else rf"[+-]?\d{{{n},}}" if letter == "y" and n > 2 else rf"\d{{{n}}}"
+            out += rf"\d{{1,{n}}}" if letter == "S" else r"\d+" if n == 1 else rf"[+-]?\d{{{n},}}" if letter == "y" and n > 2 else rf"\d{{{n}}}"
         else:
             return None
     return f"^{out}$"

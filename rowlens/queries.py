@@ -490,12 +490,6 @@ def normalize_column_name(spark, d):
     return table(spark, d, "part").select("p_partkey", text.normalize_column_name(F.concat("p_name", F.lit("--"), "p_type")).alias("name"))
 
 
-@query("SELECT name, squashed FROM (VALUES ('first_name', 'firstname'), ('firstName', 'firstname'), ('Order-ID', 'orderid'), ('customer_id', 'customerid'), ('unit price', 'unitprice')) x(name, squashed)")
-def normalize_field_name(spark, d):
-    names = spark.sql("SELECT * FROM VALUES ('first_name'), ('firstName'), ('Order-ID'), ('customer_id'), ('unit price') AS x(name)")
-    return names.select("name", text.normalize_field_name(F.col("name")).alias("squashed"))
-
-
 @query("WITH v AS (SELECT p_partkey, list_distinct(string_split(lower(replace(p_name, ' ', '_')), '_')) AS a, list_distinct(string_split(lower(replace(p_type, ' ', '_')), '_')) AS b FROM part) SELECT p_partkey, len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) AS score FROM v")
 def overlap_score(spark, d):
     u = lambda c: F.replace(F.col(c), F.lit(" "), F.lit("_"))
@@ -549,7 +543,34 @@ def match_fields_view(spark, d):
     return out.to_frame(spark).withColumn("confidence", F.round("confidence", 4))
 
 
-@query()
+def sql_squashed(name: str) -> str:
+    return f"regexp_replace(regexp_replace(lower({name}), '_id$', 'id'), '[-_\\s]', '', 'g')"
+
+
+ODD_NAMES = ("firstName", "Order-ID", "customer_id", "unit price", "A_B-c  d", "x_ID", "_id")
+
+
+@query(f"SELECT name, {sql_squashed('name')} AS squashed FROM (SELECT DISTINCT column_name AS name FROM duckdb_columns() WHERE table_name IN {TABLES} UNION SELECT unnest({list(ODD_NAMES)})) x")
+def normalize_field_name(spark, d):
+    """All column names of the tables, and some odd ones."""
+    found = sorted({c for t in TABLES for c in table(spark, d, t).columns} | set(ODD_NAMES))  # metadata only
+    names = spark.createDataFrame([(n,) for n in found], "name string")
+    return names.select("name", text.normalize_field_name(F.col("name")).alias("squashed"))
+
+
+#: Twice the length of the matching blocks by that of both names: the longest common stretch (the first of equals), then the same on either side of it.
+SIMILARITY = f"""WITH RECURSIVE c AS (SELECT DISTINCT table_name AS t, column_name AS f, list_position({list(TABLES)}, table_name) AS n FROM duckdb_columns() WHERE table_name IN {TABLES}),
+ p AS (SELECT a.t AS table1, a.f AS field1, b.t AS table2, b.f AS field2, {sql_squashed('a.f')} AS x, {sql_squashed('b.f')} AS y FROM c a JOIN c b ON a.n < b.n),
+ r AS (SELECT DISTINCT x, y, x AS a, y AS b, CAST(0 AS BIGINT) AS got FROM p UNION ALL
+  SELECT x, y, unnest([substr(a, 1, i - 1), substr(a, i + k)]), unnest([substr(b, 1, j - 1), substr(b, j + k)]), unnest([k, 0]) FROM (
+   SELECT x, y, a, b, e // 1000000 AS k, 999 - (e // 1000) % 1000 AS i, 999 - e % 1000 AS j FROM (
+    SELECT x, y, a, b, list_max(flatten(list_transform(range(1, len(a) + 1), lambda i: flatten(list_transform(range(1, len(b) + 1), lambda j: list_transform(range(1, least(len(a) - i, len(b) - j) + 2), lambda k: CASE WHEN substr(a, i, k) = substr(b, j, k) THEN k * 1000000 + (999 - i) * 1000 + 999 - j ELSE 0 END)))))) AS e
+    FROM r WHERE a <> '' AND b <> '') q WHERE e > 0) q),
+ m AS (SELECT x, y, sum(got) AS got FROM r GROUP BY x, y)
+ SELECT table1, field1, table2, field2, round(CASE WHEN x = y THEN 1 ELSE 2 * got / (len(x) + len(y)) END, 4) AS score FROM p JOIN m USING (x, y)"""
+
+
+@query(SIMILARITY)
 def field_similarity_pairs(spark, d):
     """Scores of all column names of each table against those of each other."""
     columns = {t: table(spark, d, t).columns for t in TABLES}  # metadata only

@@ -124,3 +124,19 @@ def test_normalize_and_kinds(spark):
     with pytest.raises(Exception, match="lost"):
         normalize.normalize_table(t, ["lost"])
     assert profile.check_schema(spark.range(1).toDF("a b"), strict=True) == ["invalid column name 'a b'"]
+
+
+def test_formats_are_tried_only_on_their_shapes(spark):
+    """The shapes let through all that the formats read."""
+    from pyspark.sql import functions as F
+
+    from rowlens.functions.casts import parse_date, shape_of_format
+    from rowlens.options import NormalizeOptions
+
+    formats = (*NormalizeOptions().date_formats, "M/d/yy", "yyyyMMdd", "H:mm", "dd.MM.yyyy HH:mm:ss.SSS", "MMM d, yyyy", "yyyy-MM-dd'T'HH:mm")
+    assert [shape_of_format(f) is None for f in formats] == [False] * (len(formats) - 2) + [True] * 2
+    texts = ["2020-01-02", "2020-01-02 03:04:05", "02/01/2020", "2020/01/02", "02-01-2020", "1/2/20", "20200102", "7:05", "02.01.2020 03:04:05.123", "02.01.2020 03:04:05.1", "Jan 2, 2020", "2020-01-02T03:04", "", " 2020-01-02", "+12020-01-02", "12020-01-02", "2020-13-01", "x", "2020-1-2", "-2020-01-02"]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for f in formats:
+        rows = df.select("t", parse_date(F.col("t"), (f,)).cast("string").alias("a"), F.try_to_timestamp(F.col("t"), F.lit(f)).cast("timestamp_ntz").cast("string").alias("b")).collect()
+        assert [(r.t, r.a) for r in rows] == [(r.t, r.b) for r in rows], f

@@ -155,6 +155,14 @@ def test_token_counts(odd_texts, odd_docs, no_docs, tokenizer):
     assert token_counts.token_counts(no_docs).count() == 0
 
 
+def test_tokens_of_repeated_rows(repeated_docs, tokenizer):
+    """Row by row: repeated rows, and rows without an id, each have their own count and ids."""
+    want = Counter((r.doc_id, len(tokenizer.encode(r.text or "", add_special_tokens=False))) for r in repeated_docs.select("doc_id", "text").collect())
+    assert Counter((r.doc_id, r.n_tokens) for r in token_counts.token_counts(repeated_docs).collect()) == want
+    want = Counter((r.doc_id, brute.sha(brute.utf8(r.text))) for r in repeated_docs.select("doc_id", "text").collect())
+    assert Counter((r.doc_id, r.decoded_sha256) for r in bpe.round_trip(repeated_docs).collect()) == want
+
+
 @settings(max_examples=80, deadline=None)
 @given(st.text("ab '\n é1.<|endoftext>", max_size=120), st.integers(2, 30), st.integers(1, 8))
 def test_splices_are_those_of_the_whole_text(tokenizer, text, chunk, overlap):

@@ -11,7 +11,7 @@ Classes of equal sets come first; from then on only distinct sets are handled.
 Bands of ROWS coordinates give buckets. In a bucket every member is checked
 against the smallest one on full sets, which joins nearly all that belong
 together; a bucket whose members are still in several components is then dealt
-into blocks whose sketches are compared block by block. Members that agree with
+into blocks (few and large ones, as sketches are small) that are compared pair by pair. Members that agree with
 one of another component meet there once more with their full sets, and are
 checked until no two that agree are in different components. No bucket is cut
 off, and pairs of members are compared inside a task, never written out.
@@ -39,8 +39,11 @@ PERCENT = 75
 T, ROWS = 128, 4
 #: The chance that a pair on the threshold shares no band, and that its sketches agree in too few coordinates, stays below this.
 MISSED = 1e-5
-#: Rows of a block of sketches; members checked against one copy of a set.
-BLOCK, STAR = 512, 256
+#: Rows of a block; members checked against one copy of a set.
+BLOCK, STAR = 512, 128
+#: A bucket of sketches is dealt into blocks of BLOCK rows, but no more than SPREAD of them, until they hold LARGE rows:
+#: a sketch is small, and each row is copied once for every block of its bucket.
+SPREAD, LARGE = 8, 8192
 #: Bytes of the full sets in a block.
 BLOCK_BYTES = 4 << 20
 
@@ -199,13 +202,12 @@ def verified(pairs: DataFrame, docs: DataFrame, percent: int = PERCENT) -> DataF
     return dealt.mapInArrow(run, "a long, b long")
 
 
-def in_blocks(rows: DataFrame, members: Column, columns: list[str]) -> DataFrame:
-    """Rows (key, node, ...) dealt so that each two of a bucket meet: once for each pair of its blocks.
+def in_blocks(rows: DataFrame, blocks: Column, columns: list[str]) -> DataFrame:
+    """Rows (key, node, ...) dealt so that each two of a bucket meet: once for each pair of its ``blocks``.
 
     Adds i and j, the pair of blocks, and own, the row's block.
     """
-    blocks = F.greatest(F.lit(1), F.ceil(members / BLOCK).cast("int"))
-    rows = rows.withColumn("blocks", blocks).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
+    rows = rows.withColumn("blocks", F.greatest(F.lit(1), F.ceil(blocks).cast("int"))).withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)")))
     dealt = rows.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", *columns)
     return dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "own", "node")
 
@@ -237,7 +239,8 @@ def suspects(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     ``rows``: key, members, node, label, n_shingles, sketch.
     """
-    dealt = in_blocks(rows, F.col("members"), ["label", F.col("n_shingles").alias("n"), "sketch"])
+    blocks = F.greatest(F.least(F.col("members") / BLOCK, F.lit(SPREAD)), F.col("members") / LARGE)
+    dealt = in_blocks(rows, blocks, ["label", F.col("n_shingles").alias("n"), "sketch"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for (key, i, j), held in by_group(batches, ["own", "node", "label", "n", "sketch"]):
@@ -271,7 +274,7 @@ def links_in_blocks(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     sketches agree are checked on their sets, until they are joined; so no more
     links than members leave a group, and a link is lost only to the sketches.
     """
-    dealt = in_blocks(rows, F.greatest(F.col("members"), F.col("weight") * BLOCK / BLOCK_BYTES), ["label", "sketch", "set"])
+    dealt = in_blocks(rows, F.greatest(F.col("members") / BLOCK, F.col("weight") / BLOCK_BYTES), ["label", "sketch", "set"])
 
     def check(held: list[tuple], i: int, j: int) -> list[tuple[int, int]]:
         own, node, label, bits, sets = zip(*held, strict=True)

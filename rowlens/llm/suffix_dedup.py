@@ -149,7 +149,7 @@ def suffix_classes(buf: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     key = np.ndarray((n,), ">u8", buffer=padded, strides=(1,)).astype(np.uint64)
 
     def rank(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         k = key[order]
         r = np.empty(n, np.uint64)
         r[order] = np.cumsum(np.concatenate([[0], k[1:] != k[:-1]]))
@@ -207,12 +207,16 @@ def repeats(dealt: DataFrame) -> DataFrame:
         inside = np.arange(len(buf)) - first[own]
         is_window = inside <= sizes[own] - LENGTH
         p = order[is_window[order]]  # windows in suffix order
-        at = np.array(start)[own[p]] + inside[p]
-        p = p[np.lexsort((at, np.array(rid)[own[p]], np.array(doc)[own[p]], rank[p]))]
-        place = np.stack([np.array(doc)[own[p]], np.array(rid)[own[p]], np.array(start)[own[p]] + inside[p]])
+        # corpus order in one number: the document's place among those here, then the place in it
+        by_doc = np.lexsort((np.array(rid), np.array(doc)))
+        changed = [False, *((doc[x], rid[x]) != (doc[y], rid[y]) for x, y in zip(by_doc[1:].tolist(), by_doc[:-1].tolist(), strict=True))]
+        base = np.empty(len(rows), np.int64)
+        base[by_doc] = np.cumsum(changed) << 40
+        base += np.array(start)
+        place = base[own[p]] + inside[p]
         new = np.concatenate([[True], rank[p[1:]] != rank[p[:-1]]])
-        head = np.maximum.accumulate(np.where(new, np.arange(len(p)), 0))
-        again = (place != place[:, head]).any(0)
+        group = np.cumsum(new) - 1
+        again = place != np.minimum.reduceat(place, np.flatnonzero(new))[group]
         flag = np.zeros(len(buf), bool)
         flag[p[again]] = True
         out = []
@@ -225,7 +229,9 @@ def repeats(dealt: DataFrame) -> DataFrame:
                 a = e
         if any(salted):
             held = memoryview(buf)
-            for x in p[new & np.array(salted)[own[p]]].tolist():
+            known = np.flatnonzero(~again)  # one place, which may lie in several stretches, for each string
+            known = known[np.concatenate([[True], group[known[1:]] != group[known[:-1]]])]
+            for x in p[known[np.array(salted)[own[p[known]]]]].tolist():
                 i = own[x]
                 out.append((doc[i], rid[i], start[i] + int(x - first[i]), 1, xxhash.xxh3_128_digest(held[x : x + LENGTH])))
         return out

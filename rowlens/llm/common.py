@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from .. import session
 from ..session import new_folder, shared_dir
 
-_WRITES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+_WRITES = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "4000"}
 
 
 def drop_folder(spark: SparkSession, path: str) -> None:

@@ -22,6 +22,7 @@ that may hold repeats are moved as bytes.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 from collections.abc import Iterator
 
@@ -47,15 +48,30 @@ _TRIGGER = np.dtype([("h", "<i8"), ("at", "<u4"), ("n", "<u2")])
 NO_ID = -(1 << 63)
 
 
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A number for each byte value, the powers of an odd base modulo 2^64, and those of its inverse."""
+    base = 0x9E3779B97F4A7C15
+    numbers = np.random.Generator(np.random.PCG64(5)).integers(1 << 64, size=256, dtype=np.uint64)
+    each = [np.cumprod(np.append(_U(1), np.full(n - 1, _U(b)))) for b in (base, pow(base, -1, 1 << 64))]
+    return numbers, *each
+
+
 def gram_hashes(a: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the GRAM bytes at every place of a byte array."""
+    """A 64-bit rolling hash of the GRAM bytes at every place of a byte array, of at most CHUNK + LENGTH bytes.
+
+    One place on, the byte that leaves is subtracted, the rest divided by the base
+    and the byte that enters added with the highest power: done for all places
+    at once, by differences of running sums.
+    """
+    numbers, power, inverse = _powers(CHUNK + LENGTH)
     n = len(a) - GRAM + 1
-    word = np.ndarray((len(a) - 7,), "<u8", buffer=a, strides=(1,))
-    h = word[:n] * _U(0x9E3779B97F4A7C15)
-    for k in range(8, GRAM, 8):
-        h ^= h >> _U(29)
-        h += word[k : k + n]
-        h *= _U(0xBF58476D1CE4E5B9)
+    sums = numbers[a]
+    sums *= power[: len(a)]
+    np.cumsum(sums, out=sums)
+    h = sums[GRAM - 1 :].copy()
+    h[1:] -= sums[: n - 1]
+    h *= inverse[:n]
     h ^= h >> _U(32)
     h *= _U(0x94D049BB133111EB)
     h ^= h >> _U(29)

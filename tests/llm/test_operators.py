@@ -502,6 +502,17 @@ def test_long_documents_in_chunks(monkeypatch):
     assert at[0] == 0 and (at[1:] == (at + n)[:-1]).all() and at[-1] + n[-1] == len(data) - suffix_dedup.LENGTH + 1
 
 
+def test_rolling_hash_depends_on_its_bytes_only():
+    a = np.frombuffer(bytes(range(256)) * 3 + b"ab" * 200, np.uint8)
+    h = suffix_dedup.gram_hashes(a)
+    assert len(h) == len(a) - suffix_dedup.GRAM + 1
+    grams = {}
+    for i, x in enumerate(h.tolist()):
+        assert grams.setdefault(a[i : i + suffix_dedup.GRAM].tobytes(), x) == x
+        assert suffix_dedup.gram_hashes(a[i : i + suffix_dedup.GRAM])[0] == h[i]
+    assert len(set(grams.values())) == len(grams)
+
+
 def test_suffix_array_order():
     r = np.random.default_rng(2)
     buf = r.integers(97, 99, 800, dtype=np.uint8)

@@ -103,6 +103,20 @@ class NormalizeOptions(_Options):
         _require(bool(self.date_formats), "at least one date format is needed")
 
 
+@dataclass(frozen=True)
+class ValidationOptions(_Options):
+    """What two tables must fulfil before they are compared."""
+
+    require_unique_keys: bool = True
+    allow_missing_columns: bool = False
+    strict_schema_check: bool = True
+    #: Share of table 1's columns that need a partner in table 2.
+    schema_match_threshold: float = 0.8
+
+    def __post_init__(self):
+        _require(0 <= self.schema_match_threshold <= 1, "schema_match_threshold must lie between 0 and 1")
+
+
 #: Tokens read as missing besides the user's own (fixed values).
 NA_TOKENS = ("", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null")
 

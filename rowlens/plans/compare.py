@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 
 from ..errors import ComparisonError
 from ..operators import diff, match, normalize, summary
-from ..options import CompareOptions, MatchOptions, NormalizeOptions
+from ..options import CompareOptions, MatchOptions, NormalizeOptions, ValidationOptions
 
 log = logging.getLogger("rowlens")
 
@@ -58,6 +58,35 @@ def warn_if_large(*tables: DataFrame, limit_mb: int = 500) -> int:
     return mb
 
 
+def check_tables(table1: DataFrame, table2: DataFrame, primary_key, field_mapping: dict[str, str] | None = None, options: ValidationOptions | None = None, match_options: MatchOptions | None = None) -> list[str]:
+    """What speaks against comparing two tables; empty if nothing does.
+
+    Names and types come from the schemas; only the look for duplicate keys runs
+    over the data, one aggregation a table.
+    """
+    o = options or ValidationOptions()
+    keys = diff.key_list(primary_key)
+    mapping = field_mapping if field_mapping is not None else match.match_fields(table1.columns, table2.columns, keys, match_options).matched
+    mapping = {**{k: k for k in keys}, **mapping}
+    present = {a: b for a, b in mapping.items() if a in table1.columns and b in table2.columns}
+    alone1 = sorted(set(table1.columns) - set(present))
+    alone2 = sorted(set(table2.columns) - set(present.values()))
+    out = [f"key column {k} is not in both tables" for k in keys if k not in present]
+    if not o.allow_missing_columns:
+        out += [f"table {n} alone has column {c}" for n, names in ((1, alone1), (2, alone2)) for c in names]
+    share = len(present) / len(table1.columns) if table1.columns else 0.0
+    if share < o.schema_match_threshold:
+        out.append(f"{share:.0%} of the columns match, {o.schema_match_threshold:.0%} are needed")
+    if o.strict_schema_check:
+        kinds1, kinds2 = dict(table1.dtypes), dict(table2.dtypes)
+        out += [f"column {a} is {kinds1[a]} in table 1 and {kinds2[b]} in table 2" for a, b in present.items() if kinds1[a] != kinds2[b]]
+    if o.require_unique_keys and all(k in present for k in keys):
+        for n, table, own in ((1, table1, keys), (2, table2, [present[k] for k in keys])):
+            if not diff.duplicate_keys(table, own).isEmpty():
+                out.append(f"keys of table {n} are not unique")
+    return out
+
+
 def compare_tables(table1: DataFrame, table2: DataFrame, primary_key, field_mapping: dict[str, str] | None = None, options: CompareOptions | None = None, match_options: MatchOptions | None = None, normalize_options: NormalizeOptions | None = None) -> ComparisonResult:
     """Normalise, match columns unless a mapping is given, and compare.
 

@@ -24,15 +24,20 @@ def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near-duplicates the document with the smallest doc_id.
 
-    Of rows that share a doc_id one stays; rows without one all stay.
+    Of rows that share a doc_id one stays; rows without one all stay. Only the ids
+    that go or repeat are left of the search when texts are read again, and only
+    texts that may have such an id move.
     """
     ship(spark)
-    groups = common.written(near_dedup.groups(docs), "groups")
-    copies = groups.filter("NOT kept").select("doc_id").distinct()
-    repeated = groups.filter("doc_id IS NOT NULL").groupBy("doc_id").count().filter("count > 1").select("doc_id")
-    left = docs.join(copies, "doc_id", "left_anti")
-    once = left.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
-    return left.join(repeated, "doc_id", "left_anti").select(docs.columns).unionByName(once.select(docs.columns))
+    with common.temporary(spark) as own:
+        ids = near_dedup.groups(docs).filter("doc_id IS NOT NULL").groupBy("doc_id").agg(F.bool_and("kept").alias("kept"), F.count(F.lit(1)).alias("n"))
+        ids = own.keep(ids.filter("NOT kept OR n > 1"), "copies")
+    left = common.by_id(docs, ids.select("doc_id"), "left_anti")
+    repeated = ids.filter("kept").select("doc_id")
+    if not repeated.limit(1).count():
+        return left
+    once = common.by_id(docs, repeated, "left_semi").groupBy("doc_id").agg(F.min(F.struct(*docs.columns)).alias("row")).select("row.*")
+    return left.unionByName(once)
 
 
 def without_repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

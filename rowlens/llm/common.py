@@ -96,6 +96,26 @@ def utf8(name: str = "text") -> Column:
     return text_or_empty(name).cast("binary")
 
 
+#: Bits of the filter that ``by_id`` broadcasts, 64 to a row.
+FILTER_BITS = 1 << 24
+
+
+def by_id(docs: DataFrame, ids: DataFrame, how: str) -> DataFrame:
+    """The left_semi or left_anti join (``how``) of ``docs`` with ``ids`` (doc_id: long, distinct), in the columns of ``docs``.
+
+    A filter with one bit for each hash of an id is broadcast, of at most FILTER_BITS
+    however many ids there are. Only rows that meet a set bit are joined with the
+    ids, so no other text moves, and rows without a doc_id never do.
+    """
+    at = f"pmod(xxhash64(doc_id), {FILTER_BITS}L)"
+    word, bit = f"shiftright({at}, 6)", f"shiftleft(1L, CAST({at} & 63 AS INT))"
+    bits = ids.filter("doc_id IS NOT NULL").groupBy(F.expr(word).alias("word")).agg(F.bit_or(F.expr(bit)).alias("bits"))
+    rows = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id")).withColumn("word", F.expr(f"IF(doc_id IS NOT NULL, {word}, NULL)"))
+    rows = rows.join(F.broadcast(bits), "word", "left").withColumn("met", F.expr(f"coalesce(bits & {bit}, 0L) <> 0"))
+    some = rows.filter("met").select("row", "doc_id").join(ids, "doc_id", how).select("row.*")
+    return some if how == "left_semi" else rows.filter("NOT met").select("row.*").unionAll(some)
+
+
 def pieces(batch: pa.RecordBatch, column: str, most: int) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes in ``column`` (one row at least)."""
     lengths = pa.compute.binary_length(batch.column(column)).to_numpy(zero_copy_only=False)

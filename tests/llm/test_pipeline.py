@@ -7,7 +7,7 @@ from samples import DOCS, document, prose
 
 import corpus_pipeline
 from rowlens import session
-from rowlens.llm import bpe, queries
+from rowlens.llm import bpe, common, queries
 
 
 @pytest.fixture(scope="module")
@@ -87,5 +87,55 @@ def test_whole_pipeline_of_odd_rows(spark, tmp_path):
     assert next(r for r in out if r.doc_id == 1).decoded_sha256 == brute.sha(long.encode())
 
 
+@pytest.fixture
+def no_broadcasts(spark):
+    """As with tables too large to be broadcast."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
+def shuffled(spark):
+    """Bytes of all shuffles so far."""
+    sc = spark.sparkContext
+    sc._jsc.sc().listenerBus().waitUntilEmpty(30_000)
+    nothing = sc._jvm.java.util.ArrayList()
+    stages = sc._jsc.sc().statusStore().stageList(nothing, False, False, sc._gateway.new_array(sc._jvm.double, 0), nothing)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_near_copies_leave_without_a_shuffle_of_other_texts(spark, no_broadcasts, tmp_path):
+    texts = [prose(i, 800) for i in range(100)]
+    spark.createDataFrame([document(i, texts[i % 95]) for i in range(100)], DOCS).repartition(3).write.parquet(f"file://{tmp_path}/d")
+    folders = set(session.folders)
+    out = corpus_pipeline.without_near_copies(spark, spark.read.parquet(f"file://{tmp_path}/d"), "")
+    assert len([x for x in set(session.folders) - folders if exists(spark, x)]) == 1  # the ids; the search gave back the rest
+    before = shuffled(spark)
+    assert sorted((r.doc_id, r.text) for r in out.collect()) == list(enumerate(texts[:95]))
+    assert shuffled(spark) - before < sum(map(len, texts)) / 4
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 24])
+def test_joins_by_id_with_a_full_filter_and_a_sparse_one(spark, monkeypatch, no_broadcasts, bits):
+    monkeypatch.setattr(common, "FILTER_BITS", bits)
+    rows = [document(i, f"t{i}") for i in [*range(300), 7, 8, None, None]]
+    docs, ids = spark.createDataFrame(rows, DOCS), spark.createDataFrame([(i,) for i in range(0, 600, 3)], "doc_id long")
+    gone = {i for i in range(0, 600, 3)}
+    order = lambda x: sorted(map(tuple, x), key=str)
+    assert order(common.by_id(docs, ids, "left_anti").collect()) == order(r for r in rows if r[0] not in gone)
+    assert order(common.by_id(docs, ids, "left_semi").collect()) == order(r for r in rows if r[0] in gone)
+    assert order(common.by_id(docs, ids.limit(0), "left_anti").collect()) == order(rows)
+
+
+def test_near_copies_of_rows_with_one_id(spark):
+    """One row of each id stays, and none of an id one of whose texts is a copy."""
+    rows = [document(1, prose(1, 50)), document(2, prose(2, 50)), document(2, prose(3, 50)), document(3, prose(1, 50)), document(3, None), document(4, None), document(4, None), document(None, prose(1, 50)), document(None, None)]
+    out = corpus_pipeline.without_near_copies(spark, spark.createDataFrame(rows, DOCS), "").collect()
+    assert sorted(r.doc_id for r in out if r.doc_id is not None) == [1, 2, 4]
+    assert sum(r.doc_id is None for r in out) == 2
+
+
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in queries.QUERIES) == list(range(1, 11))
